@@ -62,35 +62,71 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """Of each row: doc_id, size, source_size, target, taken.
+def _sized(docs: DataFrame) -> DataFrame:
+    """Adds what the mix needs of a row, in a struct m: id, source, size, order, bucket."""
+    key = F.log(uniform(F.col("doc_id"))) / quality(F.col("text"))
+    rows = docs.withColumn("m", F.struct(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (-key).alias("rank")))
+    bucket = F.floor((1 - F.exp(-F.col("m.rank"))) * BUCKETS)
+    return rows.withColumn("m", F.col("m").withField("bucket", bucket))
 
-    ``taken`` is size times the copies in the mix: all complete epochs of the target, and
-    one more for the rows whose middle lies before the rest of the budget in key order.
-    Empty documents have size 0 and are taken 0; a source without words has target 0.
-    Rows with one id have one key and are ordered by size, rows equal in both take any order.
+
+def _order(m: Column) -> Column:
+    """Rows are drawn in this order; null ids come first."""
+    return F.struct(m["rank"].alias("rank"), F.coalesce(m["id"], F.lit(-(1 << 63))).alias("id"), m["size"].alias("size"))
+
+
+def goals(rows: DataFrame, weights: tuple[float, ...], share: float, epochs: int) -> DataFrame:
+    """Of each source of ``rows`` (m): source_size, target, whole epochs, and where the rest ends.
+
+    The rest takes all buckets before ``edge``, and of that bucket the rows up to ``last``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.log(uniform(F.col("doc_id"))) / quality(F.col("text"))).alias("key"))
-    rows = store(rows.withColumn("bucket", F.floor((1 - F.exp("key")) * BUCKETS)), "sizes")
-    steps = store(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "steps")
+    steps = store(rows.groupBy("m.source", "m.bucket").agg(F.sum("m.size").alias("words")), "steps")
     goal = targets(steps.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(0))
-    goal = store(goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    goal = goal.withColumn("rest", F.when(F.col("whole") >= epochs, F.lit(0.0)).otherwise(F.col("target") - F.col("whole") * F.col("source_size")))
+    goal = store(goal.withColumnRenamed("source", "s"), "targets")
     # At most BUCKETS rows a source.
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = steps.withColumn("before", before).join(goal.select("source", "rest"), steps["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    edge = edge.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).groupBy("source").agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
-    goal = store(goal.join(edge.withColumnRenamed("source", "s"), goal["source"].eqNullSafe(F.col("s")), "left").drop("s"), "goals")
-    rows = rows.join(goal.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s")))
-    far = F.col("whole") >= epochs
-    # No edge: the rest covers the whole source.
-    sure = F.when(far | (F.col("rest") <= 0), F.lit(0)).when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), F.lit(1)).when(F.col("bucket") > F.col("edge"), F.lit(0))
-    rows = rows.withColumn("more", sure)
-    order = Window.partitionBy("source").orderBy(F.col("key").desc(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.where(F.col("more").isNull())
-    near = near.withColumn("more", F.when(F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0))
-    rows = rows.where(F.col("more").isNotNull()).unionByName(near)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).cast("long").alias("taken"))
+    edges = steps.withColumn("before", before).join(goal, steps["source"].eqNullSafe(goal["s"]))
+    edges = edges.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).groupBy("s").agg(F.max(F.struct("bucket", "before")).alias("e"))
+    goal = store(goal.join(edges.withColumnRenamed("s", "e_s"), goal["s"].eqNullSafe(F.col("e_s")), "left").select("s", "source_size", "target", "whole", "rest", F.col("e.bucket").alias("edge"), "e.before"), "edges")
+    near = rows.select("m").join(goal, F.col("m.source").eqNullSafe(F.col("s")) & (F.col("m.bucket") == F.col("edge")))
+    order = _order(F.col("m"))
+    sums = F.coalesce(F.sum("m.size").over(Window.partitionBy("s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = near.withColumn("upto", F.col("before") + sums + F.col("m.size") / 2).where((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)).groupBy("s").agg(F.max(order).alias("last"))
+    return store(goal.join(last.withColumnRenamed("s", "l_s"), goal["s"].eqNullSafe(F.col("l_s")), "left").drop("l_s"), "goals")
+
+
+def _taken(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """Adds source_size, target and copies. Goals are a row a source, and broadcast only if Spark finds them small."""
+    m = F.col("m")
+    more = F.when(F.col("rest") <= 0, 0).when(F.col("edge").isNull() | (m["bucket"] < F.col("edge")), 1).when((m["bucket"] == F.col("edge")) & (_order(m) <= F.col("last")), 1).otherwise(0)
+    return rows.join(goal, m["source"].eqNullSafe(F.col("s"))).withColumn("copies", (F.col("whole") + more).cast("int"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """Of each row: doc_id, size, source_size, target, taken.
+
+    ``taken`` is size times the copies in the mix: all complete epochs of the target, and
+    one more for the rows whose middle lies before the rest of the budget in key order.
+    Null and empty texts have size 0 and are taken 0; a source without words has target 0.
+    Rows with one id have one key and are ordered by size; rows equal in both are taken
+    alike where the budget ends between them.
+    """
+    rows = store(_sized(docs.select("doc_id", "source", "text")).select("m"), "sizes")
+    out = _taken(rows, goals(rows, weights, share, epochs))
+    return out.select(F.col("m.id").alias("doc_id"), F.col("m.size").alias("size"), "source_size", "target", (F.col("m.size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, in its own columns."""
+    columns = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    at = {c: F.col(f"c{columns.index(c)}") for c in ("doc_id", "source", "text")}
+    sized = _sized(inner.withColumns(at))
+    goal = goals(store(sized.select("m"), "sizes"), weights, share, epochs)
+    out = _taken(sized.drop(*at), goal).withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def _across(low: float):
 
 
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n_shingles, class_key) of all rows, and classes of sets that aren't empty.
+    """Members (doc_id, text_key, n_shingles, class_key) of all rows, and classes of sets that aren't empty.
 
     A class has an id that holds for this run, its least doc_id, and a text of it by key.
     """
@@ -154,7 +154,7 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     kept = rows.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     kept = kept.select("class_key", "first.doc_id", "first.text_key", "bands", "sketch").withColumn("id", F.monotonically_increasing_id())
-    return rows.select("doc_id", "n_shingles", "class_key"), store(kept, "classes")
+    return rows.select("doc_id", "text_key", "n_shingles", "class_key"), store(kept, "classes")
 
 
 def _texts(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -207,6 +207,19 @@ def link_classes(docs: DataFrame, groups: DataFrame, width: int, threshold: int)
     return connected_components(links.unionByName(_confirmed(docs, groups, more, width, threshold)))
 
 
+def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Rows as of near_duplicates, with text_key, and whether a row is its component's first."""
+    members, groups = classes(docs, width)
+    found = link_classes(docs, groups, width, threshold)
+    rows = groups.select("id", "class_key", "doc_id", "text_key").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    rows = store(rows.join(least, "component").select(F.col("class_key").alias("k"), F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_text")), "class-components")
+    out = members.join(rows, members["class_key"] == rows["k"], "left")
+    out = out.withColumn("component_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key", (kept & (F.col("class_key").isNull() | (F.col("text_key") == F.col("first_text")))).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 80) -> DataFrame:
     """Of each row: doc_id, n_shingles, component_id, kept.
 
@@ -216,14 +229,28 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 80) -> Dat
     others in it, or null, and they are kept only if there is none. Rows that repeat an id
     with one text are in one component and are kept or dropped alike.
     """
-    members, groups = classes(docs, width)
-    found = link_classes(docs, groups, width, threshold)
-    rows = groups.select("id", "class_key", "doc_id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    rows = store(rows.join(least, "component").select(F.col("class_key").alias("k"), "component_id"), "class-components")
-    out = members.join(rows, members["class_key"] == rows["k"], "left")
-    out = out.withColumn("component_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return judged(docs, width, threshold).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group, with all their columns.
+
+    Texts without words form no groups and stay.
+    """
+    verdicts = store(judged(docs, width, threshold).groupBy("doc_id", "text_key").agg(F.min("first").alias("first"), F.min("n_shingles").alias("n"), F.count("*").alias("rows")), "verdicts")
+    columns = docs.columns
+    keyed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    keyed = keyed.withColumns({"d": F.col(f"c{columns.index('doc_id')}").cast("long"), "k": text_key(F.col(f"c{columns.index('text')}").cast("string"))})
+
+    def matched(found: DataFrame, how: str) -> DataFrame:
+        return keyed.join(found, keyed["d"].eqNullSafe(found["doc_id"]) & (keyed["k"] == found["text_key"]), how)
+
+    repeated = (F.col("rows") > 1) & (F.col("n") > 0)
+    out = matched(verdicts.where(~F.col("first") | repeated), "left_anti")
+    again = verdicts.where(F.col("first") & repeated)
+    if not again.isEmpty():
+        out = out.unionByName(matched(again, "left_semi").dropDuplicates(["d", "k"]))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

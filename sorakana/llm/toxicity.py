@@ -203,6 +203,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_passages long, toxic_share double")
 
 
+def filter_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(at), SLICE):
+                part = batch.slice(a, b - a)
+                x = np.array([shared.value.features(t) for t in part.column(at).to_pylist()]).reshape(b - a, 4)
+                yield part.filter(pa.array(shared.value.score(x) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
