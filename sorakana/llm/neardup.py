@@ -32,7 +32,7 @@ BITS = 512
 #: Candidates whose estimate is lower than the threshold by more than this aren't confirmed.
 MARGIN = 0.15
 #: Members of a bucket that meet in one task at once.
-BLOCK = 128
+BLOCK = 512
 SLICE = 2 << 20
 _rng = np.random.default_rng(55)
 _A = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,7 +102,7 @@ def _confirm(width: int, threshold: int):
 
 
 def _close(low: float):
-    """Of rows (sketch_a, sketch_b, ...), those whose estimate is ``low`` or more."""
+    """Of rows (a, b, sketch_a, sketch_b), those pairs whose estimate is ``low`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,18 +113,56 @@ def _close(low: float):
     return run
 
 
-def _across(low: float):
-    """Of blocks of bucket members, sorted by block, the close pairs of different components."""
+def _across(low: float, threshold: int):
+    """Of blocks of bucket members, sorted by block, links that join components.
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
+    Pairs of different components whose estimate is ``low`` or more are confirmed on their
+    sets here, so that no pair leaves the task but those that join what wasn't joined. A
+    pair that shares several buckets belongs to the first of them.
+    """
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
         ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "component", "side"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in sets])
         s = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        p, q = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
-        far = np.bitwise_count(s[p][:, None, :] ^ s[q][None, :, :]).sum(axis=2, dtype=np.int64)
-        i, j = np.nonzero((estimate(far) >= low) & (comp[p][:, None] != comp[q][None, :]))
-        a, b = ids[p[i]], ids[q[j]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        bucket = rows.column("bucket")[0].as_py()
+        p, q = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        found_p, found_q, found_e = [], [], []
+        for at in range(0, len(p), 64):
+            r = p[at : at + 64]
+            close = estimate(np.bitwise_count(s[r][:, None, :] ^ s[q][None, :, :]).sum(axis=2, dtype=np.int64))
+            small, large = np.minimum(n[r][:, None], n[q]), np.maximum(n[r][:, None], n[q])
+            i, j = np.nonzero((close >= low) & (comp[r][:, None] != comp[q][None, :]) & (100 * small >= threshold * large))
+            a, b = r[i], q[j]
+            same = bands[a] == bands[b]
+            ok = (bands[a, same.argmax(axis=1)] == bucket) & ((side[a] != 2) | (ids[a] < ids[b]))
+            found_p.append(a[ok])
+            found_q.append(b[ok])
+            found_e.append(close[i, j][ok])
+        p, q, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_p, found_q, found_e))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        out: list[tuple[int, int]] = []
+        for k in np.argsort(-e, kind="stable").tolist():
+            a, b = int(p[k]), int(q[k])
+            x, y = find(int(comp[a])), find(int(comp[b]))
+            if x == y:
+                continue
+            both = np.concatenate([sets[a], sets[b]])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= threshold * (len(both) - common):
+                root[max(x, y)] = min(x, y)
+                out.append((int(ids[a]), int(ids[b])))
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -134,10 +172,20 @@ def _across(low: float):
             key = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
             cuts = [0, *(np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0) | (np.diff(key[2]) != 0)) + 1).tolist()]
             for a, b in zip(cuts, cuts[1:]):
-                yield pairs(t.slice(a, b - a))
+                yield links(t.slice(a, b - a))
             rest = t.slice(cuts[-1])
         if rest is not None and rest.num_rows:
-            yield pairs(rest)
+            yield links(rest)
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("text"), SLICE):
+                sets, bounds = shingles(*text_bytes(batch.column("text").slice(a, b - a)), width)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([sets[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -157,21 +205,21 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "text_key", "n_shingles", "class_key"), store(kept, "classes")
 
 
-def _texts(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of class ids with a text of each; only classes in pairs get theirs."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    need = groups.select("id", "doc_id", "text_key").join(ends, "id")
+def _texts(docs: DataFrame, groups: DataFrame, ids: DataFrame) -> DataFrame:
+    """A text (id, text) of each class among ``ids``."""
+    need = groups.select("id", "doc_id", "text_key").join(ids, "id")
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
     rows = rows.select("d", text_key(F.col("text")).alias("k"), "text")
     found = rows.join(need, (rows["k"] == need["text_key"]) & rows["d"].eqNullSafe(need["doc_id"])).select("id", "text")
     # Repeated rows would give a class its text twice.
-    found = store(found.groupBy("id").agg(F.min("text").alias("text")), "texts")
-    out = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return out.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return store(found.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
 
 def _confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
-    return store(_texts(docs, groups, pairs).mapInArrow(_confirm(width, threshold), "a long, b long"), "links")
+    found = _texts(docs, groups, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    out = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    out = out.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return store(out.mapInArrow(_confirm(width, threshold), "a long, b long"), "links")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -181,7 +229,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
-    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "sketch")
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
 
 
 def link_classes(docs: DataFrame, groups: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -199,12 +247,14 @@ def link_classes(docs: DataFrame, groups: DataFrame, width: int, threshold: int)
     # Buckets of two have been compared; of the others, those in more than one component.
     members = shared.where("n > 2").join(found, shared["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_ = members.join(mixed, "bucket").join(sketches, "id")
-    dealt = _blocks(open_).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-    more = store(dealt.mapInArrow(_across(low), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
+    open_ = store(members.join(mixed, "bucket"), "open")
+    if open_.isEmpty():
         return found
-    return connected_components(links.unionByName(_confirmed(docs, groups, more, width, threshold)))
+    ids = open_.select("id").distinct()
+    sets = store(_texts(docs, groups, ids).mapInArrow(_sets(width), "id long, shingles binary").join(groups.select("id", "bands", "sketch"), "id"), "sets")
+    dealt = _blocks(open_).join(sets, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = dealt.mapInArrow(_across(low, threshold), "a long, b long")
+    return connected_components(links.unionByName(more))
 
 
 def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
