@@ -65,7 +65,7 @@ def variants(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Parts of a comma-separated list, trimmed; null stays null."""
-    return F.transform(F.split(text, ","), F.trim)
+    return F.transform(F.split(text, ","), lambda x: F.trim(x))
 
 
 def compose(text: str) -> tuple[str, list[int]]:

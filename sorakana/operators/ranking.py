@@ -22,14 +22,19 @@ def priority_name(mark: Column) -> Column:
     return out
 
 
+def _points() -> dict[str, int]:
+    """Points of all marks that have any: the scores above, and bands nf01 to nf47 of frequency."""
+    out = dict(SCORES)
+    out |= {long + k[1]: out[short + k[1]] for long, short in LONG_NAMES.items() for k in SCORES if k[0] == short}
+    for band in range(1, 48):
+        out[f"nf{band:02}"] = out[f"nf{band}"] = int(48 - band / 2)
+    return out
+
+
 def priority_score(mark: Column) -> Column:
-    """Points of one mark; nf01 to nf47 by how frequent a word is, unknown marks 0."""
-    name = priority_name(mark)
-    band = F.when(name.startswith("nf"), F.substring(name, 3, 10).try_cast("int"))
-    out = F.when((band > 0) & (band < 48), F.floor(F.lit(48) - band / 2).cast("int")).otherwise(0)
-    for mark_name, points in SCORES.items():
-        out = F.when(name == mark_name, points).otherwise(out)
-    return F.coalesce(out, F.lit(0))
+    """Points of one mark; unknown marks 0."""
+    table = F.create_map(*(F.lit(x) for kv in _points().items() for x in kv))
+    return F.coalesce(F.try_element_at(table, mark), F.lit(0))
 
 
 def priority_sum(marks: Column) -> Column:
