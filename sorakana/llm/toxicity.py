@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, hash_below, slices
+from .common import documents, hash_below, held_out, slices, store
 
 #: The bound of the labelled sample that the model is fitted on, for each label.
 SAMPLE_ROWS = 15_000
@@ -120,19 +120,18 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from flush()
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled rows that aren't held out; ids and labels that are null or not 0 or 1 are left out."""
-    marks = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id")
-
-
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` labelled texts of each label, chosen by a hash of the id."""
-    marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    """(text, toxic) of about ``rows`` labelled texts of each label, chosen by a hash of the id.
+
+    Held-out rows, and labels that are null or not 0 or 1, are never in it. An id with both
+    labels counts as toxic. The ids are broadcast: the bound of the sample bounds them.
+    """
+    marks = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     there = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pick = F.when(F.col("toxic") == 1, hash_below(F.col("doc_id"), rows, there.get(1, 0))).otherwise(hash_below(F.col("doc_id"), rows, there.get(0, 0)))
-    return labelled(docs, marks.where(pick)).select("text", "toxic")
+    picked = marks.where(pick).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -141,9 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     Without rows of both labels the model finds nothing, and all texts get the share of
     toxic rows as their score.
     """
-    picked = sample(docs, labels, rows)
-    spark, own = docs.sparkSession, sample(docs, labels, rows)
-    sizes = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    spark, own = docs.sparkSession, store(sample(docs, labels, rows), "labelled")
+    sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         p = (n1 + 0.5) / (n1 + n0 + 1) if n1 + n0 else 0.01
