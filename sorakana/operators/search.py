@@ -130,12 +130,14 @@ def position_hits(at: DataFrame, dictionary: Dictionary, max_results: int, longe
     return rows.groupBy("text_id", "pos").agg(F.collect_list(F.struct("len", "ord", "prefix", "variant", "match_len", "hits")).alias("found"))
 
 
-def word_search(texts: DataFrame, dictionary: Dictionary, max_results: int = 7, every_position: bool = False, longest: int | None = None) -> DataFrame:
-    """The best entries at the start of texts (text_id, text), or at every position.
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(text_id, text) of distinct texts, with 128 bits of hashes as ids."""
+    keyed = texts.where(F.col("text").isNotNull()).select("text").distinct()
+    return keyed.select(F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("text_id"), "text")
 
-    Returns text_id, pos, result (data, match_len, more). Positions that find nothing, null
-    and empty texts have no row. match_len counts characters of the text as it was given.
-    """
+
+def search_distinct(texts: DataFrame, dictionary: Dictionary, max_results: int, every_position: bool, longest: int | None = None) -> DataFrame:
+    """As word_search, for texts that are distinct."""
     at = positions(texts)
     if not every_position:
         at = at.where("pos = 0")
@@ -143,7 +145,20 @@ def word_search(texts: DataFrame, dictionary: Dictionary, max_results: int = 7,
     return found.select("text_id", "pos", _fold_column(F.col("found"), max_results).alias("result"))
 
 
-def best_match(result: Column, true_longest: bool = False) -> Column:
+def word_search(texts: DataFrame, dictionary: Dictionary, max_results: int = 7, every_position: bool = False, longest: int | None = None) -> DataFrame:
+    """The best entries at the start of texts (text_id, text), or at every position.
+
+    Returns text_id, pos, result (data, match_len, more). Positions that find nothing, null
+    and empty texts have no row. match_len counts characters of the text as it was given.
+    Equal texts are searched once.
+    """
+    once = distinct_texts(texts)
+    found = search_distinct(once, dictionary, max_results, every_position, longest).withColumnRenamed("text_id", "key")
+    found = once.withColumnRenamed("text_id", "key").join(found, "key").select(F.col("text").alias("whole"), "pos", "result")
+    return texts.select("text_id", F.col("text").alias("whole")).join(found, "whole").select("text_id", "pos", "result")
+
+
+def best_match(result: Column) -> Column:
     """Of a result, the first that is as long as the longest match, else the first of all."""
     same = F.filter(result["data"], lambda r: r["match_len"] == result["match_len"])
     return F.coalesce(F.get(same, F.lit(0)), F.get(result["data"], F.lit(0)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..sources.dictionary import Dictionary
-from .search import best_match, word_search
+from .search import best_match, distinct_texts, search_distinct
 
 _TOKENS = "array<struct<text: string, start: int, end: int, entry_id: bigint, reason_chains: array<array<int>>>>"
 #: Results that the walk chooses from at each position.
@@ -50,8 +50,8 @@ def tokenize(texts: DataFrame, dictionary: Dictionary, longest: int | None = Non
     Distinct texts are walked once. Tokens without an entry are single characters; empty and
     null texts have none. start and end count characters of the text.
     """
-    distinct = texts.where(F.col("text").isNotNull()).select("text").distinct().withColumn("text_id", F.xxhash64("text"))
-    found = word_search(distinct, dictionary, CONSIDERED, every_position=True, longest=longest)
+    distinct = distinct_texts(texts)
+    found = search_distinct(distinct, dictionary, CONSIDERED, every_position=True, longest=longest)
     best = found.select("text_id", "pos", best_match(F.col("result")).alias("b")).groupBy("text_id").agg(F.collect_list(F.struct("pos", "b.match_len", "b.entry_id", "b.reason_chains")).alias("best"))
     rows = distinct.join(best, "text_id", "left").withColumn("n", normalized(F.col("text")))
     rows = rows.select(F.col("text").alias("whole"), F.posexplode(_walk_column(F.col("text"), F.col("n.starts"), F.col("best"))).alias("index", "t")).select("whole", "index", "t.*")

@@ -7,6 +7,7 @@ has the slim dictionary. Its size is checked first; a larger one is for the batc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from ..sources.dictionary import Dictionary
 
 #: Forms that a worker may hold.
 MOST_FORMS = 2_000_000
+#: Texts whose tokens a task remembers.
+REMEMBERED = 4096
 _HIRA, _NEW = str.maketrans(KATAKANA, HIRAGANA), str.maketrans(OLD_KANJI, NEW_KANJI)
 _DIGITS = set("0123456789０１２３４５６７８９,，、.．。")
 
@@ -117,9 +120,10 @@ def tokenize_stream(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = shared.value
+        tokens = lru_cache(REMEMBERED)(d.tokens)
         columns = ["text_id", "index", "text", "start", "end", "entry_id", "ent_seq", "reason_chains"]
         for rows in batches:
-            out = [(i, k, t["text"], t["start"], t["end"], t["entry_id"], d.entries[t["entry_id"]][0] if t["entry_id"] is not None else None, t["reason_chains"]) for i, text in zip(rows["text_id"], rows["text"], strict=True) if text is not None for k, t in enumerate(d.tokens(text))]
+            out = [(i, k, t["text"], t["start"], t["end"], t["entry_id"], d.entries[t["entry_id"]][0] if t["entry_id"] is not None else None, t["reason_chains"]) for i, text in zip(rows["text_id"], rows["text"], strict=True) if text is not None for k, t in enumerate(tokens(text))]
             frame = pd.DataFrame(out, columns=columns)
             frame["entry_id"] = frame["entry_id"].astype("Int64")
             yield frame
