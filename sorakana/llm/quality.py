@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import documents, store
 
 #: Least room above the upper quartile, or below the lower one, in thousandths (word length: hundredths).
-GAPS = {"word_length": 150, "symbols": 30, "dup_lines": 200, "repeats": 100, "upper": 100}
+GAPS = {"word_length": 150, "symbols": 30, "dup_lines": 500, "repeats": 300, "upper": 100}
 #: Interquartile ranges beyond a quartile that still pass.
 RANGES = 3
 #: Groups with fewer documents take the fences of their language, then those of all.
