@@ -16,6 +16,8 @@ from .common import GAP, documents, store
 
 #: Equal steps of exp(key); the boundary step alone is ranked row by row.
 BUCKETS = 1 << 16
+#: Steps are first summed in groups of so many.
+STRIDE = 256
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 #: No document is taken more often.
@@ -75,6 +77,15 @@ def _order(m: Column) -> Column:
     return F.struct(m["rank"].alias("rank"), F.coalesce(m["id"], F.lit(-(1 << 63))).alias("id"), m["size"].alias("size"))
 
 
+def _crossing(steps: DataFrame, goal: DataFrame) -> DataFrame:
+    """The step of each source in which its sum of words, from base, passes the rest: s, step, before."""
+    joined = steps.join(goal.select("s", "rest", "base"), steps["source"].eqNullSafe(goal["s"]))
+    order = Window.partitionBy("s").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # STRIDE rows a source at most
+    joined = joined.withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(order), F.lit(0)))
+    found = joined.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    return found.groupBy("s").agg(F.max(F.struct("step", "before")).alias("e")).select("s", "e.step", "e.before")
+
+
 def goals(rows: DataFrame, weights: tuple[float, ...], share: float, epochs: int) -> DataFrame:
     """Of each source of ``rows`` (m): source_size, target, whole epochs, and where the rest ends.
 
@@ -85,11 +96,11 @@ def goals(rows: DataFrame, weights: tuple[float, ...], share: float, epochs: int
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(0))
     goal = goal.withColumn("rest", F.when(F.col("whole") >= epochs, F.lit(0.0)).otherwise(F.col("target") - F.col("whole") * F.col("source_size")))
     goal = store(goal.withColumnRenamed("source", "s"), "targets")
-    # At most BUCKETS rows a source.
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edges = steps.withColumn("before", before).join(goal, steps["source"].eqNullSafe(goal["s"]))
-    edges = edges.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).groupBy("s").agg(F.max(F.struct("bucket", "before")).alias("e"))
-    goal = store(goal.join(edges.withColumnRenamed("s", "e_s"), goal["s"].eqNullSafe(F.col("e_s")), "left").select("s", "source_size", "target", "whole", "rest", F.col("e.bucket").alias("edge"), "e.before"), "edges")
+    coarse = _crossing(steps.groupBy("source", F.floor(F.col("bucket") / STRIDE).alias("step")).agg(F.sum("words").alias("words")), goal.withColumn("base", F.lit(0)))
+    coarse = store(goal.join(coarse.withColumnRenamed("s", "e_s"), goal["s"].eqNullSafe(F.col("e_s"))).select("s", "rest", F.col("step").alias("coarse"), F.col("before").alias("base")), "coarse")
+    fine = steps.join(coarse.select(F.col("s").alias("c_s"), "coarse"), steps["source"].eqNullSafe(F.col("c_s")) & (F.floor(F.col("bucket") / STRIDE) == F.col("coarse")))
+    edges = _crossing(fine.select("source", F.col("bucket").alias("step"), "words"), coarse)
+    goal = store(goal.join(edges.withColumnRenamed("s", "e_s"), goal["s"].eqNullSafe(F.col("e_s")), "left").select("s", "source_size", "target", "whole", "rest", F.col("step").alias("edge"), "before"), "edges")
     near = rows.select("m").join(goal, F.col("m.source").eqNullSafe(F.col("s")) & (F.col("m.bucket") == F.col("edge")))
     order = _order(F.col("m"))
     sums = F.coalesce(F.sum("m.size").over(Window.partitionBy("s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
