@@ -270,7 +270,7 @@ def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key", (kept & (F.col("class_key").isNull() | (F.col("text_key") == F.col("first_text")))).alias("first"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Of each row: doc_id, n_shingles, component_id, kept.
 
     Rows whose sets have 100 * intersection >= threshold * union are linked; component_id
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 80) -> Dat
     return judged(docs, width, threshold).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def without_near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 80) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``docs`` less all but one of each group, with all their columns.
 
     Texts without words form no groups and stay.
@@ -304,4 +304,4 @@ def without_near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 80
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), width=4)

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -32,12 +33,12 @@ def test_stages_against_plain_versions(spark, docs, folder, tmp_path):
 
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     clean = stage("toxicity", docs)
-    assert rows(clean) == Counter(tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in docs.collect() if model.score(__import__("numpy").array([model.features(r["text"])]))[0] < 0.5)
+    assert rows(clean) == Counter(tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in docs.collect() if model.score(np.array([model.features(r["text"])]))[0] < 0.5)
 
     one = stage("minhash_neardup", clean)
     given = [(r["doc_id"], r["text"]) for r in clean.collect()]
-    verdicts = brute.near_duplicates([i for i, _ in given], [t for _, t in given])
-    sets = brute.shingle_sets([t for _, t in given], 4)
+    verdicts = brute.near_duplicates([i for i, _ in given], [t for _, t in given], 5)
+    sets = brute.shingle_sets([t for _, t in given], 5)
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     groups = brute.components(len(sets), links)
     assert one.count() == len({g for g, s in zip(groups, sets, strict=True) if s}) + sum(not s for s in sets)
