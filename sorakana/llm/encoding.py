@@ -21,7 +21,7 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: No token of either kind joins a letter and one of these after it.
 _MARKS = r"(\p{L})([.,;:!?])"
 #: Distinct cuts that a worker remembers before it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 
 
 def tokenizer_json(name: str, path: str | None = None) -> str:

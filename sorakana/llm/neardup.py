@@ -33,7 +33,7 @@ BITS = 512
 MARGIN = 0.15
 #: Members of a bucket that meet in one task at once.
 BLOCK = 512
-SLICE = 2 << 20
+SLICE = 1 << 20
 _rng = np.random.default_rng(55)
 _A = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)

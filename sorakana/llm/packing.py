@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import documents, slices, store
 from .encoding import encoder, tokenizer_json
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Bins with no more room than this count as full.
 SLACK = 0
 #: How many partitions meet in one in each round.

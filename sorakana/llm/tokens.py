@@ -21,7 +21,7 @@ from .common import documents, shared_dir, slices, store
 from .encoding import encoder, tokenizer_json
 
 #: Bytes of text that a Python worker encodes at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 ORC = {"compression": "zstd", "orc.stripe.size": str(32 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.dictionary.key.threshold": "0"}
 
 
