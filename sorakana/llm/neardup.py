@@ -222,13 +222,18 @@ def _confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int,
     return store(out.mapInArrow(_confirm(width, threshold), "a long, b long"), "links")
 
 
+def _parts() -> Column:
+    """Blocks of a bucket of ``n`` members."""
+    return F.ceil(F.col("n") / BLOCK).cast("int")
+
+
+def _own_part() -> Column:
+    return F.pmod(F.xxhash64("id"), _parts()).cast("int")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """Members of buckets, dealt to pairs of blocks (i <= j); side 2 stands for both sides."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other)
+    rows = members.select("bucket", "id", "component", F.col("part").alias("own"), F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("other"))
     return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
 
 
@@ -245,9 +250,11 @@ def link_classes(docs: DataFrame, groups: DataFrame, width: int, threshold: int)
     links = _confirmed(docs, groups, stars, width, threshold)
     found = store(connected_components(links), "components")
     # Buckets of two have been compared; of the others, those in more than one component.
-    members = shared.where("n > 2").join(found, shared["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_ = store(members.join(mixed, "bucket"), "open")
+    # A bucket's members stay in the parts that will be its blocks, so that no task reads a large bucket whole.
+    members = shared.where("n > 2").join(found, shared["id"] == found["node"], "left").select("bucket", "n", _own_part().alias("part"), "id", F.coalesce("component", "id").alias("component"))
+    mixed = members.groupBy("bucket", "n").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    mixed = mixed.select("bucket", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("part"))
+    open_ = store(members.join(mixed, ["bucket", "part"]), "open")
     if open_.isEmpty():
         return found
     ids = open_.select("id").distinct()
