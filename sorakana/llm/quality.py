@@ -3,12 +3,14 @@
 All of it is DataFrame expressions. A first pass counts what the rules look at. Counts
 per language, source, measure and bucket are the quantile sketches: buckets have a fixed
 relative width, so sketches merge by adding counts, in any order, to one result. Fences
-from the quartiles replace fixed cutoffs and are joined to the documents.
+from the quartiles replace fixed cutoffs and are joined to the documents. So that junk
+in a group cannot widen its own fences, they end at those of its language, and these at
+those of all rows, unless the median is beyond: then the whole group is of another kind.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, store
@@ -53,12 +55,23 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     group = Window.partitionBy(*keys, "measure")  # at most a row for each bucket
     sketch = sketch.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "docs": F.sum("n").over(group)})
     q = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * k, F.col("bucket")))
-    rows = sketch.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), q(1).alias("q1"), q(3).alias("q3"))
+    rows = sketch.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), q(1).alias("q1"), q(2).alias("mid"), q(3).alias("q3"))
     gap = F.element_at(F.create_map(*(F.lit(x) for kv in GAPS.items() for x in kv)), F.col("measure"))
     reach = RANGES * (F.col("q3") - F.col("q1")) + gap
     rows = rows.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
-    return rows.groupBy(*keys).agg(F.max("docs").alias("docs"), *(pick(m, c) for m in GAPS for c in ("low", "high")))
+    return rows.groupBy(*keys).agg(F.max("docs").alias("docs"), *(pick(m, c) for m in GAPS for c in ("low", "mid", "high")))
+
+
+def _bounded(own: str, outer: str) -> dict[str, Column]:
+    """The fences of prefix ``own``, ending at those of ``outer`` on the sides where the median is inside."""
+    out = {}
+    for m in GAPS:
+        low, mid, high = (F.col(f"{own}{m}_{c}") for c in ("low", "mid", "high"))
+        least, most = F.col(f"{outer}{m}_low"), F.col(f"{outer}{m}_high")
+        out[f"{own}{m}_low"] = F.when(mid >= least, F.greatest(low, least)).otherwise(low)
+        out[f"{own}{m}_high"] = F.when(mid <= most, F.least(high, most)).otherwise(high)
+    return out
 
 
 def thresholds(found: DataFrame) -> DataFrame:
@@ -67,13 +80,14 @@ def thresholds(found: DataFrame) -> DataFrame:
     # 64 buckets for each power of two, exact below 128.
     bucket = F.expr("CASE WHEN v < 128 THEN v ELSE v - v % shiftleft(1L, length(bin(v)) - 7) END")
     sketch = store(passed.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n")), "sketch")
-    names = [f"{m}_{c}" for m in GAPS for c in ("low", "high")]
+    names = [f"{m}_{c}" for m in GAPS for c in ("low", "mid", "high")]
     own = _fences(sketch, ["lang", "source"])
     lang = _fences(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("docs").alias("ld"), *(F.col(n).alias(f"l_{n}") for n in names))
     every = _fences(sketch.withColumn("one", F.lit(1)), ["one"]).select("one", *(F.col(n).alias(f"e_{n}") for n in names))
     rows = own.join(lang, own["lang"].eqNullSafe(lang["l"])).withColumn("one", F.lit(1)).join(every, "one")
+    rows = rows.withColumns(_bounded("l_", "e_")).withColumns(_bounded("", "l_"))
     level = lambda n: F.when(F.col("docs") >= LEAST_DOCS, F.col(n)).when(F.col("ld") >= LEAST_DOCS, F.col(f"l_{n}")).otherwise(F.col(f"e_{n}")).alias(n)
-    return store(rows.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *map(level, names)), "fences")
+    return store(rows.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *(level(n) for n in names if not n.endswith("mid"))), "fences")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:

@@ -180,6 +180,26 @@ def test_quality_equals_sql(docs, duck):
     assert plain(quality.filter_quality(docs).toPandas()) == plain(duck.execute(quality.ORACLE).fetchdf())
 
 
+def test_junk_does_not_widen_its_own_fences(spark):
+    """Groups with 30 to 50 % junk lose it and nothing else; a source of another kind keeps its own fences."""
+    rng = np.random.default_rng(9)
+    rows = []
+    add = lambda lang, source, junk, marks: rows.append((len(rows), " ".join(f"w{x}{'#' * marks}" for x in rng.integers(1000, 9000, 80)), lang, source, junk))
+    for lang in ("en", "fr"):
+        for k in range(6):
+            for _ in range(100):
+                add(lang, f"s{k}", False, 0)
+    for lang, share in (("en", 30), ("en", 40), ("en", 50), ("alone", 40)):
+        for i in range(100):
+            add(lang, f"junk{share}", i < share, 3 * (i < share))
+    for _ in range(60):
+        add("en", "marked", False, 1)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    got = {r["doc_id"]: r["kept"] for r in quality.filter_quality(frame).collect()}
+    assert [r[0] for r in rows if r[4] and got[r[0]]] == []
+    assert [r[2:4] for r in rows if not r[4] and not got[r[0]]] == []
+
+
 def test_licenses_equal_sql(spark, docs, duck, tmp_path):
     assert plain(licenses.scan(docs).toPandas()) == plain(duck.execute(licenses.ORACLE).fetchdf())
     mit = "Copyright (c) 2020 Some One\n\n" + licenses.TEXTS["MIT"].replace("sublicense", "sub-licence").upper()
