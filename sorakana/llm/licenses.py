@@ -7,7 +7,11 @@ forms are looked up in a table of known licence texts and notices, of fixed size
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
+import re
+import textwrap
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +38,23 @@ TEXTS = {
     "0BSD": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
 }
+#: Whole texts beside ``TEXTS``, a file for each licence. The SQL doesn't know them, nor ``TITLES`` and ``SPELLED``.
+FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+#: Titles above short licences, whose files have none.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "Expat License"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License", "The BSD License", "Modified BSD License", "BSD-3-Clause"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: How many lines at the top of a file are its title.
+HEADS = {"Apache-2.0": 3, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-2.0": 1, "CC0-1.0": 2, "CC-BY-SA-4.0": 1}
+#: More names of the GNU licences, with and without what follows the version.
+SPELLED = {lic: [*(f"{name}{mark}{version}{more}" for name in names for mark in (" v", ", version ") for version in dict.fromkeys((at, at.removesuffix(".0"))) for more in ("", " only", " or later", ", or (at your option) any later version")), f"{lic}-only", f"{lic}-or-later"]
+    for lic, at, names in (("GPL-2.0", "2.0", ("GNU General Public License", "GNU GPL", "GPL")), ("GPL-3.0", "3.0", ("GNU General Public License", "GNU GPL", "GPL")), ("LGPL-2.1", "2.1", ("GNU Lesser General Public License", "GNU LGPL", "LGPL")),
+        ("LGPL-3.0", "3.0", ("GNU Lesser General Public License", "GNU LGPL", "LGPL")), ("AGPL-3.0", "3.0", ("GNU Affero General Public License", "GNU AGPL", "AGPL")))}
+for _names in SPELLED.values():  # GPLv3
+    _names += [x.replace("L v", "Lv") for x in _names if "L v" in x]
 #: Spellings that mean the same, after case and marks are gone.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("noninfringement", "non infringement"), ("copyright owner", "copyright holder"), ("https ", "http "), (" version ", " v"))
 _QUOTES, _SPACES = "‘’“”„«»‐‑–—…· ", " " * 14
@@ -55,10 +76,46 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(_HOLDER))
 
 
+def _wrappings(text: str) -> list[str]:
+    """A text as it is, with a line for each paragraph, on one line, and short ones at usual widths.
+
+    Lines matter: what starts with 'copyright' is left out wherever a text was broken.
+    """
+    parts = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    widths = range(60, 101) if len(text) < 3000 else ()
+    return [text, "\n".join(parts), " ".join(parts), *("\n".join(textwrap.fill(p, w, subsequent_indent=i, break_on_hyphens=False) for p in parts) for w in widths for i in ("", "   "))]
+
+
+@functools.cache
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(licence, form) of the texts in ``FOLDER``, with and without titles, appendices and numbers of clauses."""
+    forms = {}
+    for name in sorted(os.listdir(FOLDER)):
+        lic = name.removesuffix(".txt")
+        with open(os.path.join(FOLDER, name), encoding="utf-8") as f:
+            text = f.read()
+        bodies = [text]
+        if lic in HEADS:
+            lines = text.split("\n")
+            first = [i for i, x in enumerate(lines) if _canonical(x)][HEADS[lic]]
+            bodies.append("\n".join(lines[first:]))
+        for end in ("END OF TERMS AND CONDITIONS", "Creative Commons is not a party to its public"):
+            bodies += [b[: b.index(end)] + tail for b in bodies if end in b for tail in ("", end) if tail != end or end.isupper()]
+        if lic.startswith("BSD"):
+            bodies += [re.sub(r"(?m)^[0-9]\. ", "", b) for b in bodies] + [re.sub(r"(?m)^([0-9])\. ", r"(\1) ", b) for b in bodies]
+        for body in bodies:
+            for form in _wrappings(body):
+                for title in ("", *(t + "\n" for t in TITLES.get(lic, ()))):
+                    forms.setdefault(_canonical(title + form), (lic, title + form))
+    return tuple(forms.values())
+
+
 def known(spark: SparkSession) -> DataFrame:
-    """(digest, license) of all known forms; a few hundred rows, whatever the input."""
+    """(digest, license) of all known forms; a few thousand rows, whatever the input."""
     forms = [(lic, form.format(name)) for lic, names in NAMES.items() for name in (lic, *names) for form in NOTICES]
     forms += [(lic, f"SPDX-License-Identifier: {lic}") for lic in NAMES] + list(TEXTS.items())
+    forms += [(lic, form.format(name)) for lic, names in SPELLED.items() for name in names for form in (*NOTICES, "SPDX-License-Identifier: {}")]
+    forms = list({_canonical(form) + " " + lic: (lic, form) for lic, form in forms}.values()) + list(whole_texts())
     rows = spark.createDataFrame(forms, "license string, form string")
     rows = rows.select("license", F.array_join(canonical_lines(F.col("form")), " ").alias("form"))
     return rows.groupBy(F.sha2("form", 256).alias("digest"), F.xxhash64("form").alias("key")).agg(F.min("license").alias("license"))
@@ -72,8 +129,8 @@ def scan(docs: DataFrame) -> DataFrame:
     found, sorted and joined by commas. Null and empty texts have the digest of no words
     and no licence.
     """
-    table = known(docs.sparkSession).collect()  # a few hundred rows, fixed by the lists above
-    name = F.create_map(*(F.lit(x) for r in table for x in (r["digest"], r["license"])))
+    table = known(docs.sparkSession).collect()  # a few thousand rows, fixed by the lists and files above
+    name = F.map_from_arrays(*(F.split(F.lit(" ".join(r[c] for r in table)), " ") for c in ("digest", "license")))  # folded to one literal
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text").cast("string")).alias("lines"))
     # The hashes spare most lines a digest; a line that passes is looked up by its digest.
     hits = F.filter("lines", lambda x: F.xxhash64(x).isin([r["key"] for r in table]))
@@ -89,8 +146,6 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical(text: str) -> str:
     """What ``canonical_lines`` does, in Python, for the few known forms of the oracle."""
-    import re
-
     out = []
     for x in text.split("\n"):
         x = x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ©" + _QUOTES, "abcdefghijklmnopqrstuvwxyzc" + _SPACES))

@@ -208,6 +208,27 @@ def test_licenses_equal_sql(spark, docs, duck, tmp_path):
     assert got == {1: ("MIT", 1, "MIT"), 2: (None, 2, "Apache-2.0,MIT"), 3: (None, 0, "")}
 
 
+def test_standard_license_files(spark):
+    """Files of each known text with and without titles and in usual line breaks, and notices of the GNU licences."""
+    import os
+    import textwrap
+
+    rows, want = [], []
+    for lic in sorted(x.removesuffix(".txt") for x in os.listdir(licenses.FOLDER)):
+        with open(os.path.join(licenses.FOLDER, lic + ".txt"), encoding="utf-8") as f:
+            text = f.read()
+        bodies = [text] + ([f"{licenses.TITLES[lic][0]}\n\nCopyright (c) 2020 Some One\n\n{text}", "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(p, 78) for p in text.split("\n\n"))] if lic in licenses.TITLES and lic != "Unlicense" else [])
+        rows += bodies
+        want += [(lic, None)] * len(bodies)
+    rows[0] = rows[0].split("   APPENDIX")[0]  # Apache-2.0 as often shipped
+    for line, lic in (("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("Licensed under the GNU General Public License v3.0", "GPL-3.0"), ("License: AGPL-3.0-only", "AGPL-3.0"), ("Released under the GNU GPLv2 or later.", "GPL-2.0")):
+        rows.append("some text\n" + line)
+        want.append((None, lic))
+    assert {w[0] for w in want if w[0]} >= {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"}
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [(got[i]["license"], None if w[1] is None else got[i]["line_licenses"]) for i, w in enumerate(want)] == want
+
+
 def vectors(rng):
     rows = []
     for label in (0, 1):
