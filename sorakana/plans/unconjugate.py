@@ -2,11 +2,14 @@
 
 ``candidates`` is exact, with reasons in order: it is a closure in which a later step may
 add a chain of reasons to an earlier candidate, so it runs word by word, over distinct
-words, in Arrow batches. ``reachable`` says the same without reasons as a recursive query.
+words, in Arrow batches. ``reachable`` is the closure without reasons, by levels of joins:
+it has all of these candidates, and those that only repeat a reason.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,20 +117,25 @@ SELECT DISTINCT start, word, type & {all} AS type FROM reached WHERE (type & {al
 """
 
 
-def reachable(spark: SparkSession, words: DataFrame, depth: int = 4) -> DataFrame:
-    """All (start, word, type) within ``depth`` rules of each word, whatever their reasons.
+def reachable(spark: SparkSession, words: DataFrame, depth: int | None = None) -> DataFrame:
+    """All (start, word, type) within ``depth`` rules of each word, or by any number of rules, whatever their reasons.
 
+    Without ``depth``, levels go on until one adds nothing; each new row is expanded once.
     By levels of equi-joins on the ending, which holds for any number of words.
     """
     rules = F.broadcast(rules_frame(spark).select("ending", "becomes", "left", "right"))  # 241 rows
     now = words.select(F.col("word").alias("start"), "word", F.lit(UNKNOWN).alias("type")).distinct()
     done = now
-    for _ in range(depth):
+    for _ in itertools.count() if depth is None else range(depth):
         cut = now.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(7), F.length("word"))))).where(F.length("word") > 0)
         cut = cut.withColumn("ending", F.expr("right(word, size)"))
         by_rule = cut.join(rules, "ending").where(F.col("type").bitwiseAND(F.col("left")) != 0)
         by_rule = by_rule.select("start", F.concat(F.expr("left(word, length(word) - size)"), "becomes").alias("word"), F.col("right").alias("type")).where("word <> ''")
         stem = now.where(F.col("type").bitwiseAND(F.lit(_STEMS)) != 0).select("start", F.concat("word", F.lit("る")).alias("word"), F.lit(_ICHIDAN_RESULT).alias("type"))
         now = by_rule.unionByName(stem).distinct()
+        if depth is None:
+            now = now.join(done, ["start", "word", "type"], "left_anti").localCheckpoint()
+            if now.isEmpty():
+                break
         done = done.unionByName(now)
     return done.select("start", "word", F.col("type").bitwiseAND(F.lit(ALL_WORDS)).alias("type")).where("type <> 0").distinct()

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from sorakana.plans.rules import GODAN, rules, rules_frame
 from sorakana.plans.unconjugate import Unconjugator, candidates, reachable
-from sorakana.plans.words import REASONS, Reason
+from sorakana.plans.words import ALL_WORDS, REASONS, Reason
+from sorakana.queries import WORDS
 
 UNDO = Unconjugator()
 
@@ -63,3 +64,10 @@ def test_column_and_relation(spark):
     reached = {(r["start"], r["word"]): 0 for r in reachable(spark, frame, 6).collect()}
     assert all((w, x) in reached for w in words for x, _, _ in UNDO.candidates(w))
     assert rules_frame(spark).count() == 241
+
+
+def test_reachable_without_a_depth_has_all_candidates(spark):
+    """食べたくなかった and 見させられた have candidates more than four rules away."""
+    frame = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    reached = {(r["start"], r["word"], r["type"]) for r in reachable(spark, frame).collect()}
+    assert {(w, x, kind & ALL_WORDS) for w in WORDS for x, kind, _ in UNDO.candidates(w)} <= reached
