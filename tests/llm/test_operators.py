@@ -277,51 +277,6 @@ def test_language_learns(spark):
     assert got.score.between(0, 1).all() and set(got.lang_pred) <= {*kinds, "und"}
 
 
-def toxic_rows(rng, n=1500):
-    out = []
-    for i in range(n):
-        w = [f"w{rng.integers(400)}" for _ in range(rng.integers(10, 200))]
-        toxic = int(i % 10 == 0)
-        for _ in range(3 * toxic):
-            w[rng.integers(len(w))] = str(rng.choice(["vile", "scum", "rotten"]))
-        out.append((i, " ".join(w).replace("w1", "plain"), toxic))
-    return out
-
-
-def test_toxicity_separates_held_out_rows(spark):
-    rows = toxic_rows(np.random.default_rng(5))
-    docs = spark.createDataFrame([(i, t, "en", 0) for i, t, _ in rows] + [(None, None, None, 0), (9000, "", None, 0), (9001, "vile scum " * 50_000, None, 0)], "doc_id long, text string, lang string, toxic int")
-    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    model = toxicity.train(docs, labels)
-    assert {"vile", "scum", "rotten"} <= set(model.weights)
-    got = toxicity.score(docs, model).toPandas()
-    assert len(got) == len(rows) + 3 and got.score.between(0, 1).all()
-    truth = {i: x for i, _, x in rows}
-    held = got[got.held_out & got.doc_id.isin(truth)]
-    assert (held.predicted == held.doc_id.map(truth)).mean() > 0.99
-    assert got[got.doc_id == 9001].predicted.item() == 1 and got[got.doc_id == 9000].predicted.item() == 0
-    clean = toxicity.filter_clean(docs, model)
-    assert clean.columns == docs.columns and clean.count() == (got.predicted == 0).sum()
-
-
-def test_segments_are_maximal():
-    """Against the definition: by Kadane's choice, the best segment, and then left and right of it."""
-    rng = np.random.default_rng(6)
-
-    def best(scores, lo, hi):
-        top = max(((sum(scores[a:b]), -(b - a), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0, 0))
-        if top[0] <= 1e-12:
-            return []
-        _, _, a, b = top
-        return [*best(scores, lo, a), (a, b), *best(scores, b, hi)]
-
-    for _ in range(60):
-        scores = np.where(rng.random(25) < 0.35, rng.integers(1, 9, 25) + rng.random(25), -1.3)
-        at = np.flatnonzero(scores > 0)
-        got = [(a, b) for a, b, _ in toxicity.segments(at.tolist(), scores[at].tolist(), 1.3)]
-        assert got == best(scores.tolist(), 0, 25)
-
-
 def test_components(spark):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 2000 + i) for i in range(200)] + [(None, 3), (7, 7)]
