@@ -200,6 +200,37 @@ def test_junk_does_not_widen_its_own_fences(spark):
     assert [r[2:4] for r in rows if not r[4] and not got[r[0]]] == []
 
 
+def test_fences_follow_the_habits_of_groups(spark):
+    """Groups that differ in how much they mark, repeat lines and passages get fences that differ as much."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for source, habit in (("plain", 1), ("rich", 4)):
+        for _ in range(200):
+            lines = [" ".join(f"{''.join(rng.choice(list('abcdefgh'), rng.integers(3, 8)))}" for _ in range(8)) for _ in range(20)]
+            lines[3] += " " + "#" * int(rng.integers(2, 6) * habit)
+            lines += lines[5 : 5 + int(rng.integers(1, 3) * habit)]
+            rows.append((len(rows), "\n".join(lines), "en", source))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    from sorakana.llm.common import store
+
+    found = {r["t_source"]: r for r in quality.thresholds(store(quality.counts(frame), "counts")).collect()}
+    for m in ("symbols", "dup_lines", "repeats"):
+        assert found["rich"][f"{m}_high"] > 1.2 * found["plain"][f"{m}_high"] > 0
+    assert quality.filter_quality(frame).where("kept").count() == len(rows)
+
+
+def test_a_gap_has_the_fence_inside(spark):
+    """A few documents full of marks, where others have few or none, go in every group; those with few stay."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(4):
+        for i in range(120):
+            marks = 60 + 20 * k if i < 12 else 0
+            rows.append((len(rows), " ".join(f"{''.join(rng.choice(list('abcdefgh'), rng.integers(3, 8)))}" for _ in range(100)) + "#" * marks, "en", f"s{k}", marks > 0))
+    got = {r["doc_id"]: r["kept"] for r in quality.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")).collect()}
+    assert all(got[r[0]] != r[4] for r in rows)
+
+
 def test_licenses_equal_sql(spark, docs, duck, tmp_path):
     assert plain(licenses.scan(docs).toPandas()) == plain(duck.execute(licenses.ORACLE).fetchdf())
     mit = "Copyright (c) 2020 Some One\n\n" + licenses.TEXTS["MIT"].replace("sublicense", "sub-licence").upper()
