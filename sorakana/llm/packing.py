@@ -1,8 +1,12 @@
 """Hierarchical best-fit packing of documents into sequences (operator 10).
 
-Each partition packs its pieces by best fit, longest first. Bins that no later piece
-could improve are emitted; the others become items, meet in fewer and fewer partitions,
-and are packed again, up to a root that holds only what is still underfull.
+Pieces are dealt evenly to tasks, however the table is sorted, and each task packs its own
+by best fit, longest first. After that at most one bin of a task is half empty: a second
+one's first piece would have gone to the first. A later round can only join bins of which
+one is half empty, so each task sends up that bin and as many of its emptiest others as
+tasks meet in the next round; all others are emitted. Bins that are sent up become items,
+meet in a task of an eighth as many, and are packed again, up to a root. A task of a later
+round reads FAN_IN * (FAN_IN + 1) bins on average, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from .common import documents, slices, store
 from .encoding import encoder, tokenizer_json
 
 SLICE = 2 << 20
-#: Bins with no more room than this count as full.
-SLACK = 0
-#: How many partitions meet in one in each round.
+#: Pieces that a task of the first round packs, about.
+PIECES = 50_000
+#: How many tasks' bins meet in one task of the next round.
 FAN_IN = 8
 _PIECE = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()))
-_BIN = "bin long, used int, " + ", ".join(f"{n} array<{'int' if t == pa.int32() else 'bigint'}>" for n, t in _PIECE) + ", offset array<bigint>"
+_BIN = "bin long, used int, open boolean, " + ", ".join(f"{n} array<{'int' if t == pa.int32() else 'bigint'}>" for n, t in _PIECE) + ", offset array<bigint>"
 
 
 def pieces(docs: DataFrame, definition: str, capacity: int = 1024, spaces_kept: bool = True, end_id: int = 2) -> DataFrame:
@@ -82,7 +86,16 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _pack(depth: int, capacity: int):
+def still_open(used: np.ndarray, capacity: int) -> np.ndarray:
+    """Of a task's bins, those that a later round may join: half-empty ones, and FAN_IN of the emptiest others."""
+    light = used * 2 <= capacity
+    order = np.argsort(used, kind="stable")
+    hosts = order[~light[order] & (used[order] < capacity)][:FAN_IN]
+    light[hosts] = True
+    return light
+
+
+def _pack(depth: int, capacity: int, last: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -105,33 +118,34 @@ def _pack(depth: int, capacity: int):
                 before = np.cumsum(lists.flatten().to_numpy().astype(np.int64)) - lists.flatten().to_numpy()
         columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(before - np.repeat(before[bounds[:-1]], np.diff(bounds)))))
         ids = (depth << 56) + (TaskContext.get().partitionId() << 32) + np.arange(bins)
+        more = np.zeros(bins, bool) if last else still_open(used, capacity)
         for start in range(0, bins, 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x).slice(start, 10_000) for x in (ids, used.astype(np.int32), *columns)], names=["bin", "used", *(n for n, _ in _PIECE), "offset"])
+            yield pa.RecordBatch.from_arrays([pa.array(x).slice(start, 10_000) for x in (ids, used.astype(np.int32), more, *columns)], names=["bin", "used", "open", *(n for n, _ in _PIECE), "offset"])
 
     return pack
 
 
-def pack(parts: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Pack rows of ``pieces``; adds sequence_id and offset. Sequences number from no fixed start."""
-    items = parts.select(F.col("length").alias("used"), *(F.array(n).alias(n) for n, _ in _PIECE))
-    done, depth = [], 0
+def pack(parts: DataFrame, capacity: int = 1024, per_task: int = PIECES) -> DataFrame:
+    """Pack rows of ``pieces``, a stored table; adds sequence_id and offset.
+
+    Sequences number from no fixed start. Pieces of equal length are packed in any order, so
+    that which of them share a sequence isn't fixed; how many sequences there are nearly is.
+    """
+    names = [*(n for n, _ in _PIECE), "offset"]
+    whole = F.col("length") == capacity  # a sequence each, that no round need look at
+    out = parts.where(whole).select(*names[:-1], (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = parts.where(~whole)
+    width, depth = max(1, -(-rest.count() // per_task)), 0
+    # Dealt one by one, so that neither the order of a table nor one key fills a task.
+    items = rest.select(F.col("length").alias("used"), *(F.array(n).alias(n) for n in names[:-1])).repartition(width)
     while True:
-        width = max(1, items.rdd.getNumPartitions())
-        bins = store(items.mapInArrow(_pack(depth, capacity), _BIN), "bins")
+        bins = store(items.mapInArrow(_pack(depth, capacity, width == 1), _BIN), "bins")
+        done = bins.where("NOT open").select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip(*names)).alias("p"))
+        out = out.unionByName(done.select(*(f"p.{n}" for n in names), "sequence_id"))
         if width == 1:
-            done.append(bins)
-            break
-        # A bin whose room is below the least fill of any open bin can't take another.
-        least = bins.where(F.lit(capacity) - F.col("used") > SLACK).agg(F.min("used")).first()[0]
-        open_bin = F.lit(capacity) - F.col("used") >= F.lit(max(SLACK + 1, capacity if least is None else least))
-        done.append(bins.where(~open_bin))
-        items = bins.where(open_bin).drop("bin", "offset").coalesce(-(-width // FAN_IN))
-        depth += 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    names = [*(n for n, _ in _PIECE), "offset"]
-    return out.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip(*names)).alias("p")).select(*(f"p.{n}" for n in names[:-1]), "sequence_id", "p.offset")
+            return out
+        width, depth = -(-width // FAN_IN), depth + 1
+        items = bins.where("open").drop("bin", "open", "offset").repartition(width)
 
 
 def pack_documents(docs: DataFrame, definition: str, capacity: int = 1024) -> DataFrame:

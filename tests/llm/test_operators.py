@@ -139,6 +139,36 @@ def test_packing(docs):
     assert got.sequence_id.nunique() <= np.ceil(got.length.sum() / 128) * 1.03 + 1
 
 
+def _pieces(spark, sizes, partitions):
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length int, ids_crc32 long")
+    return frame.repartitionByRange(partitions, "doc_id") if partitions else frame.coalesce(1)
+
+
+@pytest.mark.parametrize("partitions", [0, 64])
+def test_packing_of_sorted_tables(spark, partitions):
+    """Long pieces first, then short ones, as in a table sorted by source, in many partitions or in one."""
+    rng = np.random.default_rng(12)
+    sizes = np.concatenate([rng.integers(530, 1000, 8000), rng.integers(1, 300, 8000)])
+    got = packing.pack(_pieces(spark, sizes, partitions), per_task=1000).toPandas()
+    assert sorted(got.doc_id) == list(range(len(sizes)))
+    own = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert own.length.sum().max() <= 1024 and (got.sort_values(["sequence_id", "offset"]).offset == own.length.cumsum() - got.sort_values(["sequence_id", "offset"]).length).all()
+    assert got.sequence_id.nunique() <= 8000 * 1.01
+
+
+def test_packing_sends_little_up(spark, monkeypatch):
+    """Rounds after the first read a few bins of each task, and join what is left over."""
+    rounds, plain_store = [], packing.store
+    monkeypatch.setattr(packing, "store", lambda df, name: rounds.append(plain_store(df, name)) or rounds[-1])
+    sizes = np.append(np.random.default_rng(13).integers(1, 700, 11_990), [1024] * 10)
+    got = packing.pack(_pieces(spark, sizes, 16), per_task=200).toPandas()
+    assert got.sequence_id.nunique() <= np.ceil(sizes.sum() / 1024) * 1.02 + 1
+    made, sent = ([f.where(c).count() for f in rounds] for c in ("true", "open"))
+    assert len(rounds) == 3 and sent[-1] == 0
+    assert all(s <= (packing.FAN_IN + 1) * w for s, w in zip(sent, (60, 8, 1), strict=True)) and sum(made[1:]) < sum(sent)
+
+
 def test_best_fit_is_tight():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 700, 3000)
