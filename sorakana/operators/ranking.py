@@ -67,10 +67,14 @@ def entry_priority(kanji: Column, kana: Column) -> Column:
     return F.array_max(F.concat(F.array(F.lit(0.0)), score(kanji), score(kana)))
 
 
-def mostly_kana(senses: Column) -> Column:
-    """Whether at least half of the English senses are usually written in kana."""
+def mostly_kana(senses: Column, exact: bool = True) -> Column:
+    """Whether at least half of the English senses are usually written in kana.
+
+    That is told by the code uk; with ``exact`` false, by these letters anywhere in a usage, as
+    older dictionaries of phrases are read.
+    """
     english = F.filter(senses, lambda s: (F.size(s["glosses"]) == 0) | F.exists(s["glosses"], lambda g: g["lang"].isNull() | g["lang"].isin("eng", "en")))
-    usual = F.filter(english, lambda s: F.coalesce(F.exists(s["misc"], lambda m: m == "uk"), F.lit(False)))
+    usual = F.filter(english, lambda s: F.coalesce(F.exists(s["misc"], lambda m: m == "uk" if exact else m.contains("uk")), F.lit(False)))
     return (F.size(english) > 0) & (F.size(usual) * 2 >= F.size(english))
 
 

@@ -91,7 +91,7 @@ def parse_entries(xml_rows: DataFrame, codes: dict[str, str], all_priorities: bo
     stay codes with ``info_codes``, which is what ranking compares; otherwise phrases. Forms
     without text, senses without gloss (the index counts them), entries without a number,
     a form or a sense are left out, as is what cannot be parsed. Of entries with one number
-    the first in ascending content stays.
+    the first stays: by the column ``at``, if the rows have it, else in the order of the rows.
     """
     marked = {k: f"{k}{_MARK}{v}" for k, v in codes.items() if k not in _PLAIN}
     table = F.create_map(*(F.lit(x) for kv in marked.items() for x in kv)) if marked else F.create_map().cast("map<string,string>")
@@ -101,7 +101,8 @@ def parse_entries(xml_rows: DataFrame, codes: dict[str, str], all_priorities: bo
     safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     known = lambda n: F.when(F.array_contains(plain, n) | n.startswith("#"), F.concat(F.lit("&"), n, F.lit(";"))).otherwise(safe(F.coalesce(F.try_element_at(table, n), n)))
     filled = F.array_join(F.zip_with(parts, F.concat(F.transform(names, known), F.array(F.lit(""))), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    rows = xml_rows.select(F.from_xml(filled, _XML).alias("e")).select("e.*").where("ent_seq IS NOT NULL")
+    place = F.col("at") if "at" in xml_rows.columns else F.monotonically_increasing_id()
+    rows = xml_rows.select(F.from_xml(filled, _XML).alias("e"), place.alias("at")).select("e.*", "at").where("ent_seq IS NOT NULL")
     half = lambda x, i: F.split(x, _MARK)[i]
     phrase = lambda x: F.coalesce(F.get(F.split(x, _MARK), F.lit(1)), x)
     code = (lambda x: half(x, 0)) if info_codes else phrase
@@ -119,7 +120,7 @@ def parse_entries(xml_rows: DataFrame, codes: dict[str, str], all_priorities: bo
     senses = F.filter(F.transform(F.coalesce("sense", F.array()), lambda s, i: F.struct(i.alias("index"), F.transform(some(s["pos"]), phrase).alias("pos_tags"), F.coalesce(gloss(s), no_gloss).alias("glosses"), joined(s["s_inf"], "; ").alias("info"), listed(s["field"], code).alias("field"), listed(s["misc"], code).alias("misc"), listed(s["dial"], code).alias("dial"), some(s["stagk"]).alias("stagk"), some(s["stagr"]).alias("stagr"))), lambda s: F.size(s["glosses"]) > 0)
     rows = rows.withColumn("kanji_readings", kanji).withColumn("kana_readings", kana).withColumn("senses", senses)
     rows = rows.where((F.size("kanji_readings") + F.size("kana_readings") > 0) & (F.size("senses") > 0))
-    one = rows.groupBy("ent_seq").agg(F.min(F.struct("kanji_readings", "kana_readings", "senses")).alias("e"))
+    one = rows.groupBy("ent_seq").agg(F.min_by(F.struct("kanji_readings", "kana_readings", "senses"), "at").alias("e"))
     return one.select(F.coalesce(F.expr("try_cast(ent_seq AS BIGINT)"), F.xxhash64("ent_seq")).alias("entry_id"), "ent_seq", "e.*")
 
 
@@ -129,22 +130,48 @@ def read_xml(spark: SparkSession, path: str, **options) -> Dictionary:
     # The document type is before the first entry, in the first rows of the file.
     head = chunks.where(F.col("value").contains("<!ENTITY")).select(F.regexp_extract_all("value", F.lit(r"(<!ENTITY\s+\S+\s+(?:\"[^\"]*\"|'[^']*')\s*>)"), F.lit(1)).alias("x")).first()
     codes = entities("\n".join(head["x"])) if head else {}
-    rows = chunks.where(F.col("value").contains("<entry>")).select(F.concat(F.lit("<entry>"), F.substring_index("value", "<entry>", -1), F.lit("</entry>")).alias("value"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    rows = chunks.where(F.col("value").contains("<entry>")).select(place.alias("at"), F.concat(F.lit("<entry>"), F.substring_index("value", "<entry>", -1), F.lit("</entry>")).alias("value"))
     return Dictionary.of(parse_entries(rows, codes, **options))
 
 
+_samples: dict[str, Dictionary] = {}
+
+
 def sample_dictionary(spark: SparkSession) -> Dictionary:
-    """The dictionary of this repository, through the same parser."""
+    """The dictionary of this repository, through the same parser; parsed once and kept for an application."""
     from . import sample
 
+    application = spark.sparkContext.applicationId
+    if application in _samples:
+        return _samples[application]
     rows = [("<entry>" + x.split("<entry>")[1] + "</entry>",) for x in sample.xml().split("</entry>") if "<entry>" in x]
-    return Dictionary.of(parse_entries(spark.createDataFrame(rows, "value string"), sample.ENTITIES))
+    entries = parse_entries(spark.createDataFrame(rows, "value string"), sample.ENTITIES).cache()
+    _samples.clear()
+    _samples[application] = Dictionary.of(entries)
+    return _samples[application]
+
+
+# Phrases of info and usage that rankings compare, and their codes.
+PHRASES = {
+    "rarely-used kanji form": "rK", "rarely used kanji form": "rK", "search-only kanji form": "sK", "word containing irregular kanji usage": "iK",
+    "out-dated or obsolete kana usage": "ok", "rarely used kana form": "rk", "rarely-used kana form": "rk", "search-only kana form": "sk", "word containing irregular kana usage": "ik", "word usually written using kana alone": "uk",
+}
+
+
+def _coded(phrases: Column) -> Column:
+    """Text with the phrases that rankings compare as their codes."""
+    for phrase, code in PHRASES.items():
+        phrases = F.replace(phrases, F.lit(phrase), F.lit(code))
+    return phrases
 
 
-def read_sqlite(spark: SparkSession, path: str) -> Dictionary:
+def read_sqlite(spark: SparkSession, path: str, info_codes: bool = True) -> Dictionary:
     """A dictionary from an SQLite file with tables entries, kanji, readings, senses and their children.
 
     The file is read on the driver, as a local database has to be; it holds one dictionary.
+    Such files hold phrases; with ``info_codes`` those that rankings compare become codes, so
+    that entries rank as those of the XML do.
     """
     db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     try:
@@ -158,6 +185,9 @@ def read_sqlite(spark: SparkSession, path: str) -> Dictionary:
         glosses = frame("SELECT sense_id, gloss_id, gloss_text, lang, g_type FROM glosses", "id bigint, gid bigint, text string, lang string, g_type string")
     finally:
         db.close()
+    if info_codes:
+        kanji, kana = (f.withColumn("info", _coded(F.col("info"))) for f in (kanji, kana))
+        lists["misc"] = lists["misc"].withColumn("x", _coded(F.col("x")))
     return Dictionary.of(nest(heads, kanji, kana, limits, senses, lists, glosses))
 
 

@@ -30,12 +30,11 @@ def test_xml(spark, tmp_path):
     (tmp_path / "d.xml").write_text(XML, encoding="utf-8")
     rows = {r["ent_seq"]: r for r in read_xml(spark, str(tmp_path / "d.xml")).entries.collect()}
     assert set(rows) == {"1", "4"}
-    one = next(r for r in [rows["1"]])
-    if one["kanji_readings"]:  # of two entries with one number, one stays
-        assert [tuple(k) for k in one["kanji_readings"]] == [("甲", "ichi1,news2", "rK", 0)]
-        assert [(k["text"], k["no_kanji"], k["restrictions"]) for k in one["kana_readings"]] == [("こう", True, ["甲"])]
-        (s,) = one["senses"]
-        assert (s["index"], s["pos_tags"], s["info"], s["misc"], tuple(s["glosses"][0])) == (1, ["Ichidan verb"], "a; b", ["uk"], ("l'un & l'autre", "fre", "lit"))
+    one = rows["1"]  # of two entries with one number, the first stays
+    assert [tuple(k) for k in one["kanji_readings"]] == [("甲", "ichi1,news2", "rK", 0)]
+    assert [(k["text"], k["no_kanji"], k["restrictions"]) for k in one["kana_readings"]] == [("こう", True, ["甲"])]
+    (s,) = one["senses"]
+    assert (s["index"], s["pos_tags"], s["info"], s["misc"], tuple(s["glosses"][0])) == (1, ["Ichidan verb"], "a; b", ["uk"], ("l'un & l'autre", "fre", "lit"))
     assert rows["4"]["senses"][0]["glosses"][0]["text"] == "kana unknown <b>"
 
 
@@ -47,6 +46,28 @@ def test_compatible_switches(spark):
     assert one["senses"][0]["misc"] == ["word usually written using kana alone"]
 
 
+def test_the_first_of_a_number_stays(spark, tmp_path):
+    """In a file of many splits, and among rows with their places."""
+    entry = lambda n, x: f"<entry><ent_seq>{n}</ent_seq><r_ele><reb>{x}</reb></r_ele><sense><gloss>{x}</gloss></sense></entry>"
+    body = "\n".join(entry(i, f"z{i}") for i in range(300)) + "\n" + "\n".join(entry(i, f"a{i}") for i in range(300))
+    (tmp_path / "d.xml").write_text(f"<JMdict>\n{body}\n</JMdict>\n", encoding="utf-8")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r["ent_seq"]: r["kana_readings"][0]["text"] for r in read_xml(spark, str(tmp_path / "d.xml")).entries.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == {str(i): f"z{i}" for i in range(300)}
+    rows = spark.createDataFrame([(2, entry(1, "b")), (1, entry(1, "c")), (3, entry(1, "a"))], "at int, value string")
+    assert parse_entries(rows, {}).first()["kana_readings"][0]["text"] == "c"
+
+
+def test_letters_of_a_usage(spark):
+    rows = spark.createDataFrame([([(["uk"], [("x", "eng")])],), ([(["likely uk or so"], [("x", "eng")])],), ([(["arch"], [("x", "eng")])],)], "senses array<struct<misc: array<string>, glosses: array<struct<text: string, lang: string>>>>")
+    got = rows.select(R.mostly_kana(F.col("senses")).alias("a"), R.mostly_kana(F.col("senses"), exact=False).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, True), (False, False)]
+
+
 def test_sample_and_round_trip(spark, tmp_path):
     d = sample_dictionary(spark)
     (tmp_path / "s.xml").write_text(sample.xml(), encoding="utf-8")
@@ -61,13 +82,15 @@ def test_sqlite(spark, tmp_path):
     db.executescript("""CREATE TABLE entries(entry_id, ent_seq); CREATE TABLE kanji(kanji_id, entry_id, kanji_text, priority, info); CREATE TABLE readings(reading_id, entry_id, reading_text, no_kanji, priority, info);
     CREATE TABLE reading_restrictions(reading_id, kanji_text); CREATE TABLE senses(sense_id, entry_id, sense_index, info); CREATE TABLE sense_pos(sense_id, pos); CREATE TABLE sense_field(sense_id, field); CREATE TABLE sense_misc(sense_id, misc);
     CREATE TABLE sense_dial(sense_id, dial); CREATE TABLE sense_stagk(sense_id, kanji_text); CREATE TABLE sense_stagr(sense_id, reading_text); CREATE TABLE glosses(gloss_id, sense_id, gloss_text, lang, g_type);
-    INSERT INTO entries VALUES (1, '10'); INSERT INTO kanji VALUES (1, 1, '見る', 'ichi1', NULL); INSERT INTO readings VALUES (1, 1, 'みる', 0, 'ichi1', NULL); INSERT INTO senses VALUES (1, 1, 0, NULL); INSERT INTO sense_pos VALUES (1, 'Ichidan verb');
+    INSERT INTO entries VALUES (1, '10'); INSERT INTO kanji VALUES (1, 1, '見る', 'ichi1', 'rarely used kanji form,word containing irregular kanji usage'); INSERT INTO sense_misc VALUES (1, 'word usually written using kana alone'), (1, 'archaic'); INSERT INTO readings VALUES (1, 1, 'みる', 0, 'ichi1', NULL); INSERT INTO senses VALUES (1, 1, 0, NULL); INSERT INTO sense_pos VALUES (1, 'Ichidan verb');
     INSERT INTO glosses VALUES (2, 1, 'to look', 'eng', NULL), (1, 1, 'to see', NULL, NULL);""")
     db.commit()
     db.close()
     d = read_sqlite(spark, str(tmp_path / "d.db"))
     (r,) = d.entries.collect()
     assert r["type_mask"] == 1 and [g["text"] for g in r["senses"][0]["glosses"]] == ["to see", "to look"] and d.forms.count() == 2
+    assert r["kanji_readings"][0]["info"] == "rK,iK" and r["senses"][0]["misc"] == ["archaic", "uk"]
+    assert read_sqlite(spark, str(tmp_path / "d.db"), info_codes=False).entries.first()["kanji_readings"][0]["info"].startswith("rarely used")
 
 
 def test_type_mask(spark):
