@@ -21,7 +21,8 @@ OLD_KANJI = "舊體國學會實寫讀賣來歸變傳轉廣應當擔戰殘歲圖
 NEW_KANJI = "旧体国学会実写読売来帰変伝転広応当担戦残歳図団円圧囲医塩処庁与余価児産県顕験険献厳霊齢労営栄桜駅"
 # What a small ya, yu or yo makes one sound with.
 YOON_STARTS, YOON_ENDS = "きしちにひみりぎじびぴ", "ゃゅょ"
-DIGITS_ONLY = "^[0-9０-９,，、.．。]+$"
+# The end is that of the text: in Java, $ would match before a line break as well.
+DIGITS_ONLY = r"^[0-9０-９,，、.．。]+\z"
 ZWNJ = "‌"
 LONG_VOWEL = "ー"
 
@@ -50,7 +51,7 @@ def long_vowels(text: Column) -> Column:
 
 
 def ends_in_yoon(text: Column) -> Column:
-    return text.rlike(f"[{YOON_STARTS}][{YOON_ENDS}]$")
+    return text.rlike(rf"[{YOON_STARTS}][{YOON_ENDS}]\z")
 
 
 def only_digits(text: Column) -> Column:

@@ -58,3 +58,8 @@ def test_normalize_column(spark):
 @pytest.mark.parametrize("parts", ["a, b ,c"])
 def test_split_list(spark, parts):
     assert each(spark, T.split_list, parts, None) == [["a", "b", "c"], None]
+
+
+def test_ends_are_ends_of_texts(spark):
+    rows = spark.createDataFrame([("きゃ",), ("きゃ\n",), ("12",), ("12\n",)], "t string").select(T.ends_in_yoon(F.col("t")).alias("y"), T.only_digits(F.col("t")).alias("d")).collect()
+    assert [tuple(r) for r in rows] == [(True, False), (False, False), (False, True), (False, False)]
