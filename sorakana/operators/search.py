@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import YOON_ENDS, YOON_STARTS, hiragana, new_kanji, normalized, only_digits, variants
-from ..plans.rules import by_ending
+from ..plans.rules import by_ending, ending_characters, most_added
 from ..plans.unconjugate import candidates
 from ..sources.dictionary import Dictionary
 from .lookup import lookup
 from .ranking import entry_priority, flagged, headword_type, mostly_kana, steps
 
-#: Longer than what conjugation adds to a dictionary form.
-TAIL = 24
+#: What conjugation adds to a form at most, and the only characters that it adds.
+ADDED, ADDED_CHARACTERS = most_added(), ending_characters()
 #: A search stops after so many times the wanted results.
 PLENTY = 10
 _RESULT = "struct<data: array<struct<entry_id: bigint, match_len: int, reason_chains: array<array<int>>>>, match_len: int, more: boolean>"
@@ -33,13 +33,24 @@ def positions(texts: DataFrame) -> DataFrame:
     return rows.where(F.length("normalized") > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("normalized") - 1)))
 
 
-def prefixes(at: DataFrame, longest: int) -> DataFrame:
+def reach(longest: Column) -> Column:
+    """How long a prefix at (normalized, pos) may be that comes from a form of ``longest`` characters.
+
+    What a rule leaves of a text is the start of a form, and all that rules take away are
+    characters of endings: a prefix goes on after ``longest`` characters only through those.
+    """
+    left = F.length("normalized") - F.col("pos")
+    run = F.regexp_extract(F.substring("normalized", F.col("pos") + 1 + longest, F.lit(ADDED)), f"^[{ADDED_CHARACTERS}]*", 0)
+    return F.least(left, longest + F.length(run))
+
+
+def prefixes(at: DataFrame, longest: Column) -> DataFrame:
     """Prefixes (text_id, pos, len, prefix, match_len) of positions, up to ``longest`` characters.
 
     Prefixes of digits alone are left out, and those that would cut a contracted sound.
     """
     left = F.length("normalized") - F.col("pos")
-    rows = at.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(left, F.lit(longest)))))
+    rows = at.withColumn("most", F.least(left, longest)).where("most > 0").withColumn("len", F.explode(F.sequence(F.lit(1), F.col("most"))))
     rows = rows.withColumns({"prefix": F.substring("normalized", F.col("pos") + 1, F.col("len")), "ahead": F.substring("normalized", F.col("pos") + F.col("len"), F.lit(2))})
     cut = F.col("ahead").rlike(f"^[{YOON_STARTS}][{YOON_ENDS}]")
     match_len = F.get("starts", F.col("pos") + F.col("len")) - F.get("starts", F.col("pos"))
@@ -47,10 +58,14 @@ def prefixes(at: DataFrame, longest: int) -> DataFrame:
 
 
 def first_characters(dictionary: Dictionary) -> DataFrame:
-    """Folded characters that a word which may be found starts with; as many rows as kanji at most."""
+    """(first, longest): folded characters that a word which may be found starts with, as many rows as kanji
+    at most, and the length of the longest form that starts so. A word that starts with an ending may
+    have nothing of a form left; the long vowel may stand for the start of any form."""
     fold = lambda c: hiragana(new_kanji(F.substring(c, 1, 1)))
-    endings = dictionary.forms.sparkSession.createDataFrame([(e,) for e in by_ending()] + [("ー",)], "form_text string")
-    return dictionary.forms.select("form_text").unionByName(endings).select(fold(F.col("form_text")).alias("first")).distinct()
+    endings = dictionary.forms.sparkSession.createDataFrame([(e, 0) for e in by_ending()], "form_text string, size int")
+    forms = dictionary.forms.select("form_text", F.length("form_text").alias("size"))
+    every = forms.agg(F.lit("ー").alias("first"), F.max("size").alias("longest"))
+    return forms.unionByName(endings).select(fold(F.col("form_text")).alias("first"), "size").groupBy("first").agg(F.max("size").alias("longest")).where("first <> 'ー'").unionByName(every)
 
 
 def _ranked(results: list[tuple]) -> list[tuple]:
@@ -105,11 +120,9 @@ def _fold_column(found: Column, max_results: int) -> Column:
 
 def position_hits(at: DataFrame, dictionary: Dictionary, max_results: int, longest: int | None = None) -> DataFrame:
     """Of positions, all hits: (text_id, pos, found array<...>), for ``fold``."""
-    if longest is None:
-        longest = (dictionary.forms.agg(F.max(F.length("form_text"))).first()[0] or 0) + TAIL
     starts = hiragana(new_kanji(F.expr("substring(normalized, pos + 1, 1)")))
-    at = at.join(first_characters(dictionary), starts == F.col("first"), "left_semi")
-    rows = prefixes(at, longest).select("*", F.posexplode(variants(F.col("prefix"))).alias("ord", "variant"))
+    at = at.join(F.broadcast(first_characters(dictionary)), starts == F.col("first"))
+    rows = prefixes(at, reach(F.coalesce("longest", F.lit(0))) if longest is None else F.lit(longest)).select("*", F.posexplode(variants(F.col("prefix"))).alias("ord", "variant"))
     # Once for each distinct spelling of the whole batch.
     words = rows.select("variant").distinct().withColumn("c", candidates(F.col("variant")))
     words = words.select("variant", F.posexplode("c").alias("cand", "c")).select("variant", "cand", "c.*")
@@ -130,10 +143,14 @@ def position_hits(at: DataFrame, dictionary: Dictionary, max_results: int, longe
     return rows.groupBy("text_id", "pos").agg(F.collect_list(F.struct("len", "ord", "prefix", "variant", "match_len", "hits")).alias("found"))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of hashes, by which equal texts meet, so that no shuffle but the first has the texts."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def distinct_texts(texts: DataFrame) -> DataFrame:
-    """(text_id, text) of distinct texts, with 128 bits of hashes as ids."""
-    keyed = texts.where(F.col("text").isNotNull()).select("text").distinct()
-    return keyed.select(F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("text_id"), "text")
+    """(text_id, text) of distinct texts, with their keys as ids."""
+    return texts.where(F.col("text").isNotNull()).select("text").distinct().select(text_key(F.col("text")).alias("text_id"), "text")
 
 
 def search_distinct(texts: DataFrame, dictionary: Dictionary, max_results: int, every_position: bool, longest: int | None = None) -> DataFrame:
@@ -152,10 +169,8 @@ def word_search(texts: DataFrame, dictionary: Dictionary, max_results: int = 7,
     and empty texts have no row. match_len counts characters of the text as it was given.
     Equal texts are searched once.
     """
-    once = distinct_texts(texts)
-    found = search_distinct(once, dictionary, max_results, every_position, longest).withColumnRenamed("text_id", "key")
-    found = once.withColumnRenamed("text_id", "key").join(found, "key").select(F.col("text").alias("whole"), "pos", "result")
-    return texts.select("text_id", F.col("text").alias("whole")).join(found, "whole").select("text_id", "pos", "result")
+    found = search_distinct(distinct_texts(texts), dictionary, max_results, every_position, longest).withColumnRenamed("text_id", "key")
+    return texts.where(F.col("text").isNotNull()).select("text_id", text_key(F.col("text")).alias("key")).join(found, "key").select("text_id", "pos", "result")
 
 
 def best_match(result: Column) -> Column:

@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..sources.dictionary import Dictionary
-from .search import best_match, distinct_texts, search_distinct
+from .search import best_match, distinct_texts, search_distinct, text_key
 
 _TOKENS = "array<struct<text: string, start: int, end: int, entry_id: bigint, reason_chains: array<array<int>>>>"
 #: Results that the walk chooses from at each position.
 CONSIDERED = 5
 
 
-def walk(text: str, starts: list[int], best: dict[int, tuple[int, int, list]]) -> list[dict]:
+def walk(text: str, starts: list[int], best: Callable[[int], tuple[int, int, list] | None]) -> list[dict]:
     """Tokens from left to right: the best match where there is one, else one character.
 
-    ``best`` has, by position in the normalized text, (match_len, entry_id, chains). Tokens
+    ``best`` gives, for a position in the normalized text, (match_len, entry_id, chains). Tokens
     join to the text: what normalization drops belongs to the token before it.
     """
     out, at, begin = [], 0, 0
     place = {s: i for i, s in reversed(list(enumerate(starts)))}
     last = len(starts) - 1
     while at < last:
-        hit = best.get(at)
+        hit = best(at)
         after = place[starts[at] + hit[0]] if hit else at + 1
         while after < last and starts[after] <= begin:  # a part of what composed into one character
             after += 1
@@ -39,7 +41,7 @@ def _walk_column(text: Column, starts: Column, best: Column) -> Column:
     @F.pandas_udf(_TOKENS)
     def run(texts: pd.Series, places: pd.Series, found: pd.Series) -> pd.Series:
         chains = lambda c: None if c is None else [[int(r) for r in x] for x in c]
-        return pd.Series([[] if t is None else walk(t, [int(x) for x in s], {b["pos"]: (b["match_len"], b["entry_id"], chains(b["reason_chains"])) for b in (f if f is not None else ())}) for t, s, f in zip(texts, places, found, strict=True)])
+        return pd.Series([[] if t is None else walk(t, [int(x) for x in s], {b["pos"]: (b["match_len"], b["entry_id"], chains(b["reason_chains"])) for b in (f if f is not None else ())}.get) for t, s, f in zip(texts, places, found, strict=True)])
 
     return run(text, starts, best)
 
@@ -54,9 +56,9 @@ def tokenize(texts: DataFrame, dictionary: Dictionary, longest: int | None = Non
     found = search_distinct(distinct, dictionary, CONSIDERED, every_position=True, longest=longest)
     best = found.select("text_id", "pos", best_match(F.col("result")).alias("b")).groupBy("text_id").agg(F.collect_list(F.struct("pos", "b.match_len", "b.entry_id", "b.reason_chains")).alias("best"))
     rows = distinct.join(best, "text_id", "left").withColumn("n", normalized(F.col("text")))
-    rows = rows.select(F.col("text").alias("whole"), F.posexplode(_walk_column(F.col("text"), F.col("n.starts"), F.col("best"))).alias("index", "t")).select("whole", "index", "t.*")
+    rows = rows.select(F.col("text_id").alias("key"), F.posexplode(_walk_column(F.col("text"), F.col("n.starts"), F.col("best"))).alias("index", "t")).select("key", "index", "t.*")
     rows = rows.join(dictionary.entries.select("entry_id", "ent_seq"), "entry_id", "left")
-    return texts.select("text_id", F.col("text").alias("whole")).join(rows, "whole").select("text_id", "index", "text", "start", "end", "entry_id", "ent_seq", "reason_chains")
+    return texts.where(F.col("text").isNotNull()).select("text_id", text_key(F.col("text")).alias("key")).join(rows, "key").select("text_id", "index", "text", "start", "end", "entry_id", "ent_seq", "reason_chains")
 
 
 def windows(texts: DataFrame, width: int = 10) -> DataFrame:

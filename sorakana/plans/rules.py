@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import HIRAGANA, KATAKANA, LONG_VOWEL, NEW_KANJI, OLD_KANJI
 from .words import Reason, WordType
 
 # Short names of types, for the tables below.
@@ -220,3 +221,23 @@ def by_ending() -> dict[str, list[Rule]]:
     for r in rules():
         found[r.ending].append(r)
     return dict(found)
+
+
+def ending_characters() -> str:
+    """All characters that rules can take from the end of a word, in all spellings that count as equal."""
+    plain = {c for r in rules() for c in r.ending}
+    folded = {k for k, h in (*zip(KATAKANA, HIRAGANA, strict=True), *zip(OLD_KANJI, NEW_KANJI, strict=True)) if h in plain}
+    return "".join(sorted(plain | folded | {LONG_VOWEL}))
+
+
+def most_added() -> int:
+    """Characters that conjugation can add to a word, at most.
+
+    A reason isn't undone twice; it can be absorbed in another one, and then comes again.
+    Rules without a reason never shorten a word.
+    """
+    most: dict[int, int] = defaultdict(int)
+    for r in rules():
+        for x in r.reasons:
+            most[x] = max(most[x], len(r.ending) - len(r.becomes))
+    return 2 * sum(most.values())

@@ -8,14 +8,17 @@ it has all of these candidates, and those that only repeat a reason.
 
 from __future__ import annotations
 
-import itertools
+import atexit
+import functools
+import shutil
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import HIRAGANA, KATAKANA
-from .rules import by_ending, rules_frame
+from ..functions.text import HIRAGANA, KATAKANA, hiragana
+from .rules import Rule, by_ending, rules_frame
 from .words import ALL_WORDS, UNKNOWN, Reason, WordType
 
 Chains = tuple[tuple[int, ...], ...]
@@ -46,9 +49,14 @@ def _extended(chains: Chains, reasons: tuple[int, ...]) -> Chains:
     return ((*reasons, *first), *rest)
 
 
+@functools.cache
+def _rules() -> dict[str, list[Rule]]:
+    return by_ending()
+
+
 class Unconjugator:
     def __init__(self):
-        self.rules = by_ending()
+        self.rules = _rules()  # made once for all batches of a worker
         self.lengths = sorted({len(e) for e in self.rules}, reverse=True)
 
     def candidates(self, word: str) -> list[tuple[str, int, Chains]]:
@@ -104,38 +112,37 @@ def candidates(word: Column) -> Column:
     return run(word)
 
 
-REACHABLE = """
-WITH RECURSIVE reached (start, word, type, depth) MAX RECURSION LEVEL 20 AS (
-  SELECT word, word, {unknown}, 0 FROM words
-  UNION ALL
-  SELECT s.start, s.word, s.type, s.depth FROM (
-    SELECT r.start, concat(left(r.word, length(r.word) - length(u.ending)), u.becomes) AS word, u.right AS type, r.depth + 1 AS depth
-    FROM reached r JOIN rules u ON right(r.word, length(u.ending)) = u.ending AND (r.type & u.left) <> 0 AND r.depth < {depth}
-    UNION ALL
-    SELECT r.start, concat(r.word, 'る'), {ichidan}, r.depth + 1 FROM reached r WHERE (r.type & {stems}) <> 0 AND r.depth < {depth}) s WHERE s.word <> '')
-SELECT DISTINCT start, word, type & {all} AS type FROM reached WHERE (type & {all}) <> 0
-"""
-
+def reachable(spark: SparkSession, words: DataFrame) -> DataFrame:
+    """All (start, word, type) that any number of rules lead to from each word, whatever their reasons.
 
-def reachable(spark: SparkSession, words: DataFrame, depth: int | None = None) -> DataFrame:
-    """All (start, word, type) within ``depth`` rules of each word, or by any number of rules, whatever their reasons.
-
-    Without ``depth``, levels go on until one adds nothing; each new row is expanded once.
-    By levels of equi-joins on the ending, which holds for any number of words.
+    By levels of equi-joins on the ending, which holds for any number of words; each new row is
+    expanded once, and levels go on until one adds nothing. Levels are checkpointed in the folder
+    of ``spark.checkpoint.dir``.
     """
+    _set_checkpoint_folder(spark)
     rules = F.broadcast(rules_frame(spark).select("ending", "becomes", "left", "right"))  # 241 rows
-    now = words.select(F.col("word").alias("start"), "word", F.lit(UNKNOWN).alias("type")).distinct()
+    longest = max(map(len, _rules()))
+    now = words.select(F.col("word").alias("start"), "word", F.lit(UNKNOWN).alias("type")).distinct().checkpoint()
     done = now
-    for _ in itertools.count() if depth is None else range(depth):
-        cut = now.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(7), F.length("word"))))).where(F.length("word") > 0)
-        cut = cut.withColumn("ending", F.expr("right(word, size)"))
+    while not now.isEmpty():
+        cut = now.where(F.length("word") > 0).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word")))))
+        cut = cut.withColumn("ending", hiragana(F.expr("right(word, size)")))
         by_rule = cut.join(rules, "ending").where(F.col("type").bitwiseAND(F.col("left")) != 0)
         by_rule = by_rule.select("start", F.concat(F.expr("left(word, length(word) - size)"), "becomes").alias("word"), F.col("right").alias("type")).where("word <> ''")
         stem = now.where(F.col("type").bitwiseAND(F.lit(_STEMS)) != 0).select("start", F.concat("word", F.lit("る")).alias("word"), F.lit(_ICHIDAN_RESULT).alias("type"))
-        now = by_rule.unionByName(stem).distinct()
-        if depth is None:
-            now = now.join(done, ["start", "word", "type"], "left_anti").localCheckpoint()
-            if now.isEmpty():
-                break
+        now = by_rule.unionByName(stem).distinct().join(done, ["start", "word", "type"], "left_anti").checkpoint()
         done = done.unionByName(now)
     return done.select("start", "word", F.col("type").bitwiseAND(F.lit(ALL_WORDS)).alias("type")).where("type <> 0").distinct()
+
+
+def _set_checkpoint_folder(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, True)
+    context.setCheckpointDir(folder)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import HIRAGANA, KATAKANA, LONG_VOWEL, NEW_KANJI, OLD_KANJI, VOWELS, YOON_ENDS, YOON_STARTS, normalize
 from ..operators.ranking import LONG_NAMES, OBSCURE_KANA, OBSCURE_KANJI, SCORES, mostly_kana
-from ..operators.search import TAIL, fold
+from ..operators.search import ADDED, ADDED_CHARACTERS, fold
 from ..operators.tokenize import CONSIDERED, walk
 from ..plans.unconjugate import Unconjugator
 from ..sources.dictionary import Dictionary
@@ -25,6 +25,7 @@ MOST_FORMS = 2_000_000
 #: Texts whose tokens a task remembers.
 REMEMBERED = 4096
 _HIRA, _NEW = str.maketrans(KATAKANA, HIRAGANA), str.maketrans(OLD_KANJI, NEW_KANJI)
+_ENDINGS = set(ADDED_CHARACTERS)
 _DIGITS = set("0123456789０１２３４５６７８９,，、.．。")
 
 
@@ -45,7 +46,7 @@ class MemoryDictionary:
         for text, kind, ord_, entry in forms:
             self.forms.setdefault(text, []).append((kind, text, entry, ord_))
         self.entries = entries
-        self.longest = max(map(len, self.forms), default=0) + TAIL
+        self.longest = max(map(len, self.forms), default=0)
         self.undo = Unconjugator()
 
     @classmethod
@@ -86,7 +87,11 @@ class MemoryDictionary:
 
     def search(self, text: str, starts: list[int], pos: int, max_results: int) -> tuple[list[tuple], int]:
         def found():
-            for size in range(min(len(text) - pos, self.longest), 0, -1):
+            most = min(len(text), pos + self.longest)
+            end = min(len(text), most + ADDED)
+            while most < end and text[most] in _ENDINGS:
+                most += 1
+            for size in range(most - pos, 0, -1):
                 prefix = text[pos : pos + size]
                 if set(prefix) <= _DIGITS:
                     return
@@ -105,12 +110,14 @@ class MemoryDictionary:
 
     def tokens(self, text: str) -> list[dict]:
         done, starts = normalize(text)
-        best = {}
-        for pos in range(len(done)):
+
+        def best(pos: int) -> tuple[int, int, list] | None:
             data, longest = self.search(done, starts, pos, CONSIDERED)
-            if data:
-                hit = next((r for r in data if r[1] == longest), data[0])
-                best[pos] = (hit[1], hit[0], hit[2] or None)
+            if not data:
+                return None
+            hit = next((r for r in data if r[1] == longest), data[0])
+            return hit[1], hit[0], hit[2] or None
+
         return walk(text, starts, best)
 
 

@@ -61,12 +61,12 @@ def test_column_and_relation(spark):
     frame = spark.createDataFrame([(w,) for w in words], "word string")
     got = {r["word"]: [(c["word"], c["type"], tuple(map(tuple, c["reason_chains"]))) for c in r["c"]] for r in frame.withColumn("c", candidates(F.col("word"))).collect()}
     assert got == {w: UNDO.candidates(w) for w in words}
-    reached = {(r["start"], r["word"]): 0 for r in reachable(spark, frame, 6).collect()}
+    reached = {(r["start"], r["word"]): 0 for r in reachable(spark, frame).collect()}
     assert all((w, x) in reached for w in words for x, _, _ in UNDO.candidates(w))
     assert rules_frame(spark).count() == 241
 
 
-def test_reachable_without_a_depth_has_all_candidates(spark):
+def test_reachable_has_all_candidates(spark):
     """食べたくなかった and 見させられた have candidates more than four rules away."""
     frame = spark.createDataFrame([(w,) for w in WORDS], "word string")
     reached = {(r["start"], r["word"], r["type"]) for r in reachable(spark, frame).collect()}
