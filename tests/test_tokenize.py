@@ -1,10 +1,11 @@
 import pytest
 
+from sorakana.functions.text import FULL_DIGITS, HALF_DIGITS, NEW_KANJI, OLD_KANJI, VOWELS
 from sorakana.operators.search import fold, word_search
 from sorakana.operators.tokenize import tokenize, windows, with_glosses
 from sorakana.plans.words import Reason
-from sorakana.queries import SENTENCES
-from sorakana.sources.dictionary import sample_dictionary
+from sorakana.queries import INFLECTED, SENTENCES
+from sorakana.sources.dictionary import read_xml, sample_dictionary
 from sorakana.streaming.tokenizer import MemoryDictionary, tokenize_stream
 
 TEXTS = [*SENTENCES, "", None, "一", "a" * 50, "がくせい", "勉‌強‌する‌", "‌食べた", "𠮟る😀", "食べる" * 10, "ハ゛ッグ", "おーさか", "コーヒーーー", "もう。もう、", "舊體", "したためる"]
@@ -66,6 +67,33 @@ def test_longer_prefixes_change_nothing(d, texts):
     assert listed(tokenize(texts, d)) == listed(tokenize(texts, d, longest=200))
 
 
+LONG = ("書かせられすぎちゃっていらっしゃらざるを得なくありません", "書かせられたくなくなりすぎなさそうでいらっしゃいませんでした")
+
+
+def test_long_chains_are_one_word(spark, tmp_path):
+    """Conjugations of any length are found, in the batch plan and in memory."""
+    xml = "<JMdict>\n<entry><ent_seq>1</ent_seq><k_ele><keb>書く</keb></k_ele><r_ele><reb>かく</reb></r_ele><sense><pos>v5k</pos><gloss>to write</gloss></sense></entry>\n</JMdict>\n"
+    (tmp_path / "d.xml").write_text(xml, encoding="utf-8")
+    one = read_xml(spark, str(tmp_path / "d.xml"))
+    frame = spark.createDataFrame([(0, LONG[0]), (1, "本を" + LONG[0] + "ね"), (2, LONG[0].replace("書か", "カか"))], "text_id int, text string")
+    got = listed(tokenize(frame, one))
+    assert got == listed(tokenize_stream(frame, one)) == listed(tokenize(frame, one, longest=100))
+    assert [r[2] for r in got if r[0] == 0] == [LONG[0]] and LONG[0] in [r[2] for r in got if r[0] == 1]
+
+
+def test_all_inflected_spellings_of_the_sentences_are_listed(d):
+    """The SQL of searches and tokens takes what is inflected from a list; it has all there is and nothing else."""
+    memory = MemoryDictionary.collect(d)
+    found = set()
+    for text in (s.translate(str.maketrans(HALF_DIGITS, FULL_DIGITS)) for s in SENTENCES):
+        for part in {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}:
+            for spelling in {part, part.translate(str.maketrans(OLD_KANJI, NEW_KANJI)), *(part.replace("ー", v, 1) for v in VOWELS)}:
+                for cand, (word, kind, chains) in enumerate(memory.undo.candidates(spelling)):
+                    if cand and any(kind & memory.entries[e][1] for e in memory.lookup(word, 20)):
+                        found.add((spelling, cand, word, kind, " or ".join("<".join(Reason(r).name for r in c) for c in chains)))
+    assert found == set(INFLECTED)
+
+
 def test_word_search(spark, d):
     frame = spark.createDataFrame([(1, "食べる"), (2, "は"), (3, "xyz"), (4, "２４"), (5, "大坂に")], "text_id int, text string")
     got = {r["text_id"]: r["result"] for r in word_search(frame, d).collect()}
