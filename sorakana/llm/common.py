@@ -44,7 +44,44 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of ``store`` that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        if path := df.__dict__.get("_stored_at"):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of one key that are joined in one task, about; keys with more are dealt to parts.
+HOT = 512
+#: Rows of a table that may be broadcast.
+SMALL = 200_000
+
+
+def join_dealt(rows: DataFrame, table: DataFrame, key: str, by: str, narrow: bool = False) -> DataFrame:
+    """``rows`` with the row of ``table``, unique by ``key``, where one key may have most rows.
+
+    A ``narrow`` table, of a few numbers a row, is broadcast if it is small. Else keys with more than HOT rows are dealt to parts by the column ``by``, and their row of
+    ``table`` is copied to each. There are at most a HOT-th as many such keys as rows; they
+    are broadcast if they are few, else joined as any table is.
+    """
+    if narrow:
+        table = store(table, "narrow")
+        if table.limit(SMALL + 1).count() <= SMALL:
+            return rows.join(F.broadcast(table), key)
+    hot = store(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(key, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, key)
+    hot = F.broadcast(hot) if hot.limit(SMALL + 1).count() <= SMALL else hot
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    right = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -38,8 +38,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums[0] == 0 or sums == before:
             break
-        before = sums
-        now = store(_small(_large(now)), "edges")
+        before, old = sums, now
+        now = store(_small(_large(old)), "edges")
+        discard(old)
     else:
         raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))

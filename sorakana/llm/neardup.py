@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, slices, store, text_bytes
+from .common import discard, documents, join_dealt, mix, slices, store, text_bytes
 from .graph import connected_components
 from .shingles import shingles
 
@@ -217,9 +217,12 @@ def _texts(docs: DataFrame, groups: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
     found = _texts(docs, groups, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    out = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    # A hub has many pairs: they meet its text in parts.
+    out = join_dealt(pairs, found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a", "b")
     out = out.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return store(out.mapInArrow(_confirm(width, threshold), "a long, b long"), "links")
+    links = store(out.mapInArrow(_confirm(width, threshold), "a long, b long"), "links")
+    discard(found)
+    return links
 
 
 def _parts() -> Column:
@@ -243,11 +246,13 @@ def link_classes(docs: DataFrame, groups: DataFrame, width: int, threshold: int)
     buckets = groups.select("id", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = store(buckets.join(hubs, "bucket"), "buckets")  # of what is in one bucket with another
-    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    met = store(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "met")
     sketches = groups.select("id", "sketch")
-    stars = stars.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    stars = met.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    stars = join_dealt(stars, sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a", "b").select("a", "b", "sketch_a", "sketch_b")
     stars = store(stars.mapInArrow(_close(low), "a long, b long"), "stars")
     links = _confirmed(docs, groups, stars, width, threshold)
+    discard(met, stars)
     found = store(connected_components(links), "components")
     # Buckets of two have been compared; of the others, those in more than one component.
     # A bucket's members stay in the parts that will be its blocks, so that no task reads a large bucket whole.
@@ -255,13 +260,17 @@ def link_classes(docs: DataFrame, groups: DataFrame, width: int, threshold: int)
     mixed = members.groupBy("bucket", "n").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     mixed = mixed.select("bucket", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("part"))
     open_ = store(members.join(mixed, ["bucket", "part"]), "open")
+    discard(shared)
     if open_.isEmpty():
         return found
-    ids = open_.select("id").distinct()
-    sets = store(_texts(docs, groups, ids).mapInArrow(_sets(width), "id long, shingles binary").join(groups.select("id", "bands", "sketch"), "id"), "sets")
+    texts = _texts(docs, groups, open_.select("id").distinct())
+    sets = store(texts.mapInArrow(_sets(width), "id long, shingles binary").join(groups.select("id", "bands", "sketch"), "id"), "sets")
+    discard(texts)
     dealt = _blocks(open_).join(sets, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = dealt.mapInArrow(_across(low, threshold), "a long, b long")
-    return connected_components(links.unionByName(more))
+    found = connected_components(links.unionByName(more))
+    discard(open_, sets, links)
+    return found
 
 
 def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -269,8 +278,9 @@ def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     members, groups = classes(docs, width)
     found = link_classes(docs, groups, width, threshold)
     rows = groups.select("id", "class_key", "doc_id", "text_key").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = store(rows, "placed")
     least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
-    rows = store(rows.join(least, "component").select(F.col("class_key").alias("k"), F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_text")), "class-components")
+    rows = store(join_dealt(rows, least, "component", "id", narrow=True).select(F.col("class_key").alias("k"), F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_text")), "class-components")
     out = members.join(rows, members["class_key"] == rows["k"], "left")
     out = out.withColumn("component_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
