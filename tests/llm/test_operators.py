@@ -100,6 +100,16 @@ def test_encoder_equals_the_library(docs, name, kept):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.ids + [2] for e in plain_ids]
 
 
+def test_repeats_of_many_equal_rows(spark):
+    rng = np.random.default_rng(14)
+    own = ["".join(rng.choice(list("abcdef "), 700)) for _ in range(4)]
+    texts = [own[0]] * 40 + [own[1]] * 3 + [own[2]] * 2 + [own[3], own[0][100:450] + "tail", None, None, None, "short", "short", "short"]
+    ids = [None] * 40 + [1] * 3 + [2] * 2 + [3, 4, 5, 5, 5, 6, 6, 6]
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    got = Counter(tuple(r) for r in suffixes.remove_repeats(frame, texts=True).collect())
+    assert got == Counter((i, *x[:4], x[4].decode()) for i, x in zip(ids, brute.repeats(texts), strict=True))
+
+
 def test_token_files_round_trip(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
@@ -119,6 +129,56 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in rows) == Counter({(i, zlib.crc32(np.array(ids, "<u4").tobytes())): n for (i, ids), n in want.items()})
 
 
+def test_cuts_of_one_hash_are_told_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    definition = encoding.tokenizer_json("byte_bpe_50k.json")
+    texts = ["one two six", "six two one ten", "ten six three eleven", ""]
+    plain_ids = [Tokenizer.from_str(definition).encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    for mask in (0, 1, 3):
+        e = encoding.Encoder(definition, True)
+        ranges = e.hashes.ranges
+        monkeypatch.setattr(e.hashes, "ranges", lambda *a, r=ranges, m=mask: r(*a) & np.uint64(m))
+        for _ in range(2):
+            ids, bounds = e(__import__("pyarrow").array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == plain_ids
+
+
+def test_token_files_have_indexes(spark, tmp_path):
+    """Ids are in the second run-length encoding; by row index and Bloom filters a lookup reads a few rows of a file."""
+    path = str(tmp_path / "ids")
+    frame = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.repeat(F.lit("a word "), (F.col("id") % 30).cast("int")).alias("text"))
+    tokens.write_token_files(frame.coalesce(1), path, encoding.tokenizer_json("word_bpe_49k.json"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
+    kinds = jvm.java.lang.Class.forName("org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf$Type").getEnumConstants()
+    integers = next(k for k in kinds if k.toString() == "LONG")
+    fields = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 1)
+    fields[0] = "doc_id"
+
+    def read(reader, doc_id):
+        found = sarg.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", integers, jvm.java.lang.Long.valueOf(doc_id)).end().build()
+        rows, batch, n = reader.rows(reader.options().searchArgument(found, fields)), reader.getSchema().createRowBatch(), 0
+        while rows.nextBatch(batch):
+            n += batch.size
+        return n
+
+    total = there = other = 0
+    for file in tmp_path.glob("ids/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        total += reader.getNumberOfRows()
+        there, other = there + read(reader, 7000), other + read(reader, 7001)
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kind = [footer.getColumns(i).getKind().toString() for i in range(footer.getColumnsCount())]
+            assert kind[2:] == ["DIRECT_V2"] * 5  # doc_id, first, n_tokens, ids and its elements
+            streams = [(x.getKind().toString(), x.getColumn()) for x in (footer.getStreams(i) for i in range(footer.getStreamsCount()))]
+            assert ("BLOOM_FILTER_UTF8", 2) in streams and ("ROW_INDEX", 2) in streams
+    assert total == 20_000 and 1 <= there <= 2000 and other <= 1000
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -272,6 +332,7 @@ def test_licenses_equal_sql(spark, docs, duck, tmp_path):
 def test_standard_license_files(spark):
     """Files of each known text with and without titles and in usual line breaks, and notices of the GNU licences."""
     import os
+    import re
     import textwrap
 
     rows, want = [], []
@@ -281,11 +342,16 @@ def test_standard_license_files(spark):
         bodies = [text] + ([f"{licenses.TITLES[lic][0]}\n\nCopyright (c) 2020 Some One\n\n{text}", "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(p, 78) for p in text.split("\n\n"))] if lic in licenses.TITLES and lic != "Unlicense" else [])
         rows += bodies
         want += [(lic, None)] * len(bodies)
-    rows[0] = rows[0].split("   APPENDIX")[0]  # Apache-2.0 as often shipped
+    for lic, text in [(w[0], t) for w, t in zip(want, rows, strict=True) if w[0] != "MPL-1.1"]:  # its notice at the end has blanks for holders
+        for width in range(50, 101, 1 if len(text) < 15_000 else 10):
+            wrapped = lambda p: p if re.search(r"(?mi)^\W*copyright (\(c\)|[0-9]{4})", p) else textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False, break_long_words=False)  # noqa: B023, E731
+            rows.append("\n\n".join(wrapped(p) for p in text.split("\n\n")))
+            want.append((lic, None))
+    rows[want.index(("Apache-2.0", None))] = rows[want.index(("Apache-2.0", None))].split("   APPENDIX")[0]  # as often shipped
     for line, lic in (("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("Licensed under the GNU General Public License v3.0", "GPL-3.0"), ("License: AGPL-3.0-only", "AGPL-3.0"), ("Released under the GNU GPLv2 or later.", "GPL-2.0")):
         rows.append("some text\n" + line)
         want.append((None, lic))
-    assert {w[0] for w in want if w[0]} >= {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"}
+    assert {w[0] for w in want if w[0]} >= {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0", "Zlib", "BSL-1.0", "MIT-0", "Artistic-1.0-Perl", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "LGPL-2.0", "MPL-1.1"}
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert [(got[i]["license"], None if w[1] is None else got[i]["line_licenses"]) for i, w in enumerate(want)] == want
 
@@ -338,6 +404,72 @@ def test_language_learns(spark):
     assert got.score.between(0, 1).all() and set(got.lang_pred) <= {*kinds, "und"}
 
 
+def _plain_language(model, text):
+    """The probabilities of a text by one gram at a time."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    total, count = np.zeros(len(model.languages)), 0
+    for n in (2, 3, 4):
+        for i in range(len(low) - n + 1):
+            h = n
+            for c in low[i : i + n]:
+                h = (h * 256 + c) % 2**64
+            for _ in range(2):
+                h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) % 2**64
+            h ^= h >> 32
+            total += model.shares[:, h >> 49]
+            count += 1
+    z = (total / max(count, 1) + model.bias * (count > 0)) * model.temperature
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_language_equals_a_plain_softmax(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    kinds = {"aa": "thing", "bb": "eaux", "cc": "schen"}
+    make = lambda k, n: "".join(rng.choice(list(kinds[k] + "AZ .é"), n))
+    rows = [(i, make(k, 40 + i % 60), k) for i, k in enumerate(rng.choice(list(kinds), 300))]
+    model = language.fit([t for _, t, _ in rows], [str(k) for _, _, k in rows])
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows[:60]] + [(900, "a"), (901, make("aa", 5000))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.identify(frame, model).collect()}
+    for i, text in ((r["doc_id"], r["text"]) for r in frame.collect()):
+        p = _plain_language(model, text)
+        assert got[i]["lang_pred"] == model.languages[p.argmax()] and got[i]["score"] == pytest.approx(p.max(), abs=1e-6)
+        assert got[i]["accepted"] == (got[i]["score"] >= model.least)
+    import pyarrow as pa
+
+    from sorakana.llm.common import text_bytes
+
+    texts = text_bytes(pa.array([t for _, t, _ in rows]))
+    whole = model.probabilities(*texts)
+    monkeypatch.setattr(language, "CHUNK", 97)
+    assert np.allclose(model.probabilities(*texts), whole)
+
+
+def test_accepted_answers_reach_their_precision(spark):
+    """On rows that neither training nor calibration has seen, with texts of two languages mixed."""
+    rng = np.random.default_rng(4)
+    kinds = {"aa": ["the", "thing", "ing"], "bb": ["ter", "then", "ang"], "cc": ["der", "ung", "sch"]}
+    rows = []
+    for i, k in enumerate(rng.choice(list(kinds), 1500)):
+        other = kinds[str(rng.choice(list(kinds)))]
+        rows.append((i, " ".join("".join(rng.choice(kinds[k] if rng.random() < 0.6 else other, 2)) for _ in range(rng.integers(2, 12))), str(k)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(frame, language.train(frame, rows=3000)).toPandas().merge(frame.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    right = held.lang_pred == held.lang
+    assert right.mean() < 0.99 and 0.1 < held.accepted.mean() < 1
+    assert right[held.accepted].mean() >= 0.97
+
+
+def test_languages_of_long_texts_only(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("".join(rng.choice(["the", "ing"], 2)) for _ in range(30)), "aa") for i in range(60)]
+    rows += [(100 + i, " ".join("".join(rng.choice(["der", "ung"], 2)) for _ in range(9000)), "bb") for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(frame, language.train(frame)).toPandas()
+    assert (got.lang_pred == ["aa"] * 60 + ["bb"] * 12).mean() > 0.98
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 2000 + i) for i in range(200)] + [(None, 3), (7, 7)]
