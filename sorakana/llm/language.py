@@ -99,10 +99,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 9) -> Model:
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y[i]] -= 1
-            back = out @ p
-            out -= rate * np.outer(x, p)
+            # Steps shrink where they would overshoot, so that rows that contradict each other cannot make them grow.
+            back, size = out @ p, np.float32(20) * (w @ w) * (out * out).sum()
+            out -= rate / (1 + rate * (x @ x)) * np.outer(x, p)
             bias -= rate * np.float32(0.1) * p
-            emb[idx] -= (rate * np.float32(20) * w)[:, None] * back
+            emb[idx] -= (rate * np.float32(20) / (1 + rate * size) * w)[:, None] * back
     model = Model(names, np.ascontiguousarray((emb @ out).T), bias, 1.0, 0.0)
     if len(names) > 1 and len(check):
         z = np.array([bags[i][1] @ (emb[bags[i][0]] @ out) + bias for i in check], np.float64)
