@@ -144,10 +144,13 @@ def test_cuts_of_one_hash_are_told_apart(monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == plain_ids
 
 
+FAR = 5_000_000_000  # beyond 32 bits, so that it reaches the JVM as a long
+
+
 def test_token_files_have_indexes(spark, tmp_path):
     """Ids are in the second run-length encoding; by row index and Bloom filters a lookup reads a few rows of a file."""
     path = str(tmp_path / "ids")
-    frame = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.repeat(F.lit("a word "), (F.col("id") % 30).cast("int")).alias("text"))
+    frame = spark.range(20_000).select((F.col("id") * 2 + FAR).alias("doc_id"), F.repeat(F.lit("a word "), (F.col("id") % 30).cast("int")).alias("text"))
     tokens.write_token_files(frame.coalesce(1), path, encoding.tokenizer_json("word_bpe_49k.json"))
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
@@ -157,10 +160,10 @@ def test_token_files_have_indexes(spark, tmp_path):
     fields[0] = "doc_id"
 
     def read(reader, doc_id):
-        found = sarg.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", integers, jvm.java.lang.Long.valueOf(doc_id)).end().build()
+        found = sarg.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", integers, doc_id).end().build()
         rows, batch, n = reader.rows(reader.options().searchArgument(found, fields)), reader.getSchema().createRowBatch(), 0
         while rows.nextBatch(batch):
-            n += batch.size
+            n += batch.count()
         return n
 
     total = there = other = 0
@@ -168,7 +171,7 @@ def test_token_files_have_indexes(spark, tmp_path):
         reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
         assert reader.getRowIndexStride() == 1000
         total += reader.getNumberOfRows()
-        there, other = there + read(reader, 7000), other + read(reader, 7001)
+        there, other = there + read(reader, FAR + 7000), other + read(reader, FAR + 7001)
         rows = reader.rows()
         for stripe in reader.getStripes():
             footer = rows.readStripeFooter(stripe)
@@ -452,7 +455,7 @@ def test_accepted_answers_reach_their_precision(spark):
     rows = []
     for i, k in enumerate(rng.choice(list(kinds), 1500)):
         other = kinds[str(rng.choice(list(kinds)))]
-        rows.append((i, " ".join("".join(rng.choice(kinds[k] if rng.random() < 0.6 else other, 2)) for _ in range(rng.integers(2, 12))), str(k)))
+        rows.append((i, " ".join("".join(rng.choice(kinds[k] if rng.random() < 0.8 else other, 2)) for _ in range(rng.integers(3, 15))), str(k)))
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language.identify(frame, language.train(frame, rows=3000)).toPandas().merge(frame.toPandas(), on="doc_id")
     held = got[got.held_out]
