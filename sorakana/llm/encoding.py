@@ -2,7 +2,7 @@
 
 A text is cut where no token of the tokenizer can cross, each distinct cut is encoded
 once, and the ids of all cuts are gathered with array operations. Cuts are found again by
-a hash and compared byte by byte.
+a hash and compared in full.
 """
 
 from __future__ import annotations
@@ -54,9 +54,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        # Sorted hashes of what was encoded, with places and lengths of its bytes and of its ids.
-        self.keys, self.places, self.sizes, self.starts, self.counts = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
-        self.ids, self.filled, self.raw, self.used = np.zeros(1 << 16, np.int32), 0, np.zeros(1 << 16, np.uint8), 0
+        # Sorted hashes of the cuts that were encoded, which cut each is of, and where its ids are.
+        self.keys, self.which, self.starts, self.counts = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        self.words, self.ids, self.filled = pa.array([], pa.string()), np.zeros(1 << 16, np.int32), 0
 
     def _cuts(self, column: pa.Array) -> pa.ListArray:
         if not self.spaces_kept:
@@ -73,28 +73,18 @@ class Encoder:
         place[flags] = len(plain) + np.arange(len(rest))
         return pa.concat_arrays([plain, pa.array(rest, plain.type)]).take(pa.array(place))
 
-    def _known(self, keys: np.ndarray, raw: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each cut is in what was encoded, and whether it is there, byte by byte."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = (self.keys[at] == keys) & (self.sizes[at] == sizes)
-        rows = np.flatnonzero(known)
-        n = sizes[rows]
-        ends = np.cumsum(n)
-        step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
-        other = raw[np.repeat(first[rows], n) + step] != self.raw[np.repeat(self.places[at[rows]], n) + step]
-        differ = np.concatenate([[0], np.cumsum(other)])
-        known[rows] = differ[ends] == differ[ends - n]
-        return at, known
-
     def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each of these distinct cuts start in self.ids, and how many there are."""
         if len(self.keys) + len(words) > REMEMBERED:
             self._forget()
         raw, bounds = text_bytes(words)
-        keys, sizes = self.hashes.ranges(self.hashes.prefixes(raw), bounds[:-1], bounds[1:]), np.diff(bounds)
-        at, known = self._known(keys, raw, bounds[:-1], sizes)
+        keys = self.hashes.ranges(self.hashes.prefixes(raw), bounds[:-1], bounds[1:])
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        met = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        rows = np.flatnonzero(met)
+        known = np.zeros(len(keys), bool)
+        if len(rows):
+            known[rows] = pc.equal(words.take(pa.array(rows)), self.words.take(pa.array(self.which[at[rows]]))).to_numpy(zero_copy_only=False)
         starts, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         starts[known], counts[known] = self.starts[at[known]], self.counts[at[known]]
         new = np.flatnonzero(~known)
@@ -109,21 +99,15 @@ class Encoder:
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.int32)])
             self.ids[self.filled : self.filled + total] = np.fromiter((x for ids in lists for x in ids), np.int32, total)
             self.filled += total
-        if len(new):
-            # One cut for each hash is remembered; another with that hash is encoded anew each time.
-            _, one = np.unique(keys[new], return_index=True)
-            one = new[one]
-            one = one[~np.isin(keys[one], self.keys)]
-            n = sizes[one]
-            flat = raw[np.repeat(bounds[one] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            if self.used + len(flat) > len(self.raw):
-                self.raw = np.concatenate([self.raw, np.zeros(max(len(self.raw), len(flat)), np.uint8)])
-            self.raw[self.used : self.used + len(flat)] = flat
-            more = {"keys": keys[one], "places": self.used + np.cumsum(n) - n, "sizes": n, "starts": starts[one], "counts": counts[one]}
-            self.used += len(flat)
-            order = np.argsort(np.concatenate([self.keys, more["keys"]]), kind="stable")
+        # One cut of each hash is remembered; another with that hash is encoded anew each time.
+        added, one = np.unique(keys[~met], return_index=True)
+        if len(added):
+            one = np.flatnonzero(~met)[one]
+            to = np.searchsorted(self.keys, added)
+            more = {"keys": added, "which": len(self.words) + np.arange(len(one)), "starts": starts[one], "counts": counts[one]}
             for name, x in more.items():
-                setattr(self, name, np.concatenate([getattr(self, name), x])[order])
+                setattr(self, name, np.insert(getattr(self, name), to, x))
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(one))])
         return starts, counts
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
