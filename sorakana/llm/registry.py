@@ -16,4 +16,4 @@ QUERIES = {
     "op9_language_id": language.op9_language,
     "op10_best_fit_packing": packing.op10_packing,
 }
-ORACLES = {"op3_quality_rules": quality.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_license_scan": licenses.ORACLE}
+ORACLES = {"op3_quality_rules": quality.ORACLE, "op4_embedding_neardup": embeddings.ORACLE, "op5_minhash_neardup": neardup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_license_scan": licenses.ORACLE}
