@@ -149,8 +149,14 @@ def text_key(text: Column) -> Column:
 
 
 def distinct_texts(texts: DataFrame) -> DataFrame:
-    """(text_id, text) of distinct texts, with their keys as ids."""
-    return texts.where(F.col("text").isNotNull()).select("text").distinct().select(text_key(F.col("text")).alias("text_id"), "text")
+    """(text_id, text) of distinct texts, with their keys as ids.
+
+    Texts are small and their prefixes are many, so they are dealt to all shuffle partitions,
+    which would be merged into few by their size.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = texts.where(F.col("text").isNotNull()).select("text").distinct().repartition(parts, "text")
+    return once.select(text_key(F.col("text")).alias("text_id"), "text")
 
 
 def search_distinct(texts: DataFrame, dictionary: Dictionary, max_results: int, every_position: bool, longest: int | None = None) -> DataFrame:
