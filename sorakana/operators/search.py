@@ -1,13 +1,14 @@
 """Word search at every position of texts.
 
-Every prefix of every position, in every spelling, is a row. Distinct spellings are
-unconjugated once for the whole batch and joined to the dictionary once; what remains
-for each position are its few hits, which a fold goes through from the longest down.
+What a search at a position may look at is a short piece of text, its view. Distinct views of
+the whole batch are searched once: every prefix, in every spelling, is a row. Distinct spellings
+are unconjugated once and joined to the dictionary once; what remains for each view are its few
+hits, which a fold goes through from the longest down. Positions then meet the result of their view.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,33 +16,53 @@ from pyspark.sql import functions as F
 
 from ..functions.text import YOON_ENDS, YOON_STARTS, hiragana, new_kanji, normalized, only_digits, variants
 from ..plans.rules import by_ending, ending_characters, most_added
-from ..plans.unconjugate import candidates
+from ..plans.unconjugate import candidates, set_checkpoint_folder
 from ..sources.dictionary import Dictionary
 from .lookup import lookup
 from .ranking import entry_priority, flagged, headword_type, mostly_kana, steps
 
 #: What conjugation adds to a form at most, and the only characters that it adds.
 ADDED, ADDED_CHARACTERS = most_added(), ending_characters()
+_ENDINGS = frozenset(ADDED_CHARACTERS)
 #: A search stops after so many times the wanted results.
 PLENTY = 10
+#: What a search at a position depends on, see ``views``.
+VIEW = ("view", "most", "places")
 _RESULT = "struct<data: array<struct<entry_id: bigint, match_len: int, reason_chains: array<array<int>>>>, match_len: int, more: boolean>"
 
 
+def ending_runs(text: str) -> list[int]:
+    """For each character, how many from it on are characters of endings; no more than ADDED count."""
+    out, run = [], 0
+    for c in reversed(text):
+        run = min(run + 1, ADDED) if c in _ENDINGS else 0
+        out.append(run)
+    return out[::-1]
+
+
+def _runs_column(text: Column) -> Column:
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else ending_runs(t))
+
+    return run(text)
+
+
 def positions(texts: DataFrame) -> DataFrame:
-    """(text_id, text) with normalized, starts, and a row for each position: pos from 0."""
+    """(text_id, text) with normalized, starts, runs of endings, and a row for each position: pos from 0."""
     rows = texts.withColumn("n", normalized(F.col("text"))).select("text_id", "n.normalized", "n.starts")
-    return rows.where(F.length("normalized") > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("normalized") - 1)))
+    rows = rows.where(F.length("normalized") > 0).withColumn("runs", _runs_column(F.col("normalized")))
+    return rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("normalized") - 1)))
 
 
 def reach(longest: Column) -> Column:
-    """How long a prefix at (normalized, pos) may be that comes from a form of ``longest`` characters.
+    """How long a prefix at (normalized, runs, pos) may be that comes from a form of ``longest`` characters.
 
     What a rule leaves of a text is the start of a form, and all that rules take away are
     characters of endings: a prefix goes on after ``longest`` characters only through those.
     """
     left = F.length("normalized") - F.col("pos")
-    run = F.regexp_extract(F.substring("normalized", F.col("pos") + 1 + longest, F.lit(ADDED)), f"^[{ADDED_CHARACTERS}]*", 0)
-    return F.least(left, longest + F.length(run))
+    return F.least(left, longest + F.coalesce(F.get("runs", F.col("pos") + longest), F.lit(0)))
 
 
 def prefixes(at: DataFrame, longest: Column) -> DataFrame:
@@ -118,13 +139,35 @@ def _fold_column(found: Column, max_results: int) -> Column:
     return run(found)
 
 
-def position_hits(at: DataFrame, dictionary: Dictionary, max_results: int, longest: int | None = None) -> DataFrame:
-    """Of positions, all hits: (text_id, pos, found array<...>), for ``fold``."""
-    starts = hiragana(new_kanji(F.expr("substring(normalized, pos + 1, 1)")))
-    at = at.join(F.broadcast(first_characters(dictionary)), starts == F.col("first"))
-    rows = prefixes(at, reach(F.coalesce("longest", F.lit(0))) if longest is None else F.lit(longest)).select("*", F.posexplode(variants(F.col("prefix"))).alias("ord", "variant"))
+def _parts(frame: DataFrame) -> int:
+    """As many partitions as a shuffle has, for rows that are small but take long, which would be merged into few by their
+    size. Rows are dealt by a hash then, since a shuffle by columns by which they just met is left out of the plan."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def views(at: DataFrame, dictionary: Dictionary, longest: int | None = None) -> DataFrame:
+    """Of positions that may find something: (text_id, pos) and VIEW, all that a search there depends on.
+
+    ``view`` is the longest prefix, of ``most`` characters, and the character after it, by which a
+    contracted sound is known. ``places`` are those of its characters in the text as it was given;
+    empty if normalization left them alone.
+    """
+    first = hiragana(new_kanji(F.expr("substring(normalized, pos + 1, 1)")))
+    at = at.join(F.broadcast(first_characters(dictionary)), first == F.col("first"))
+    left = F.length("normalized") - F.col("pos")
+    at = at.withColumn("most", F.least(left, reach(F.coalesce("longest", F.lit(0))) if longest is None else F.lit(longest))).where("most > 0")
+    here, begin = F.slice("starts", F.col("pos") + 1, F.col("most") + 1), F.get("starts", F.col("pos"))
+    places = F.when(here == F.sequence(begin, begin + F.col("most")), F.array().cast("array<int>")).otherwise(F.transform(here, lambda s: s - begin))
+    return at.select("text_id", "pos", F.substring("normalized", F.col("pos") + 1, F.col("most") + 1).alias("view"), "most", places.alias("places"))
+
+
+def view_hits(seen: DataFrame, dictionary: Dictionary, max_results: int) -> DataFrame:
+    """Of distinct views, all hits: VIEW and found array<...>, for ``fold``."""
+    starts = F.when(F.size("places") == 0, F.sequence(F.lit(0), F.col("most"))).otherwise(F.col("places"))
+    at = seen.select(F.struct(*VIEW).alias("text_id"), F.lit(0).alias("pos"), F.col("view").alias("normalized"), starts.alias("starts"), F.col("most").alias("longest"))
+    rows = prefixes(at, F.col("longest")).select("*", F.posexplode(variants(F.col("prefix"))).alias("ord", "variant"))
     # Once for each distinct spelling of the whole batch.
-    words = rows.select("variant").distinct().withColumn("c", candidates(F.col("variant")))
+    words = rows.select("variant").distinct().repartition(_parts(seen), F.xxhash64("variant")).withColumn("c", candidates(F.col("variant")))
     words = words.select("variant", F.posexplode("c").alias("cand", "c")).select("variant", "cand", "c.*")
     found = lookup(words.select("word"), dictionary, max(3 * max_results, 20))
     slim = dictionary.entries.select("entry_id", "type_mask", "kanji_readings", "kana_readings", mostly_kana(F.col("senses")).alias("usual"))
@@ -140,7 +183,7 @@ def position_hits(at: DataFrame, dictionary: Dictionary, max_results: int, longe
     ranked = ranked.withColumn("steps", steps(F.col("chains")))
     ranked = ranked.groupBy("prefix", "variant").agg(F.collect_list(F.struct("cand", "hit", "entry_id", "chains", "steps", "type", "priority", "own_type", "own_priority")).alias("hits"))
     rows = rows.join(ranked, ["prefix", "variant"])
-    return rows.groupBy("text_id", "pos").agg(F.collect_list(F.struct("len", "ord", "prefix", "variant", "match_len", "hits")).alias("found"))
+    return rows.groupBy("text_id").agg(F.collect_list(F.struct("len", "ord", "prefix", "variant", "match_len", "hits")).alias("found")).select("text_id.*", "found")
 
 
 def text_key(text: Column) -> Column:
@@ -149,23 +192,22 @@ def text_key(text: Column) -> Column:
 
 
 def distinct_texts(texts: DataFrame) -> DataFrame:
-    """(text_id, text) of distinct texts, with their keys as ids.
-
-    Texts are small and their prefixes are many, so they are dealt to all shuffle partitions,
-    which would be merged into few by their size.
-    """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = texts.where(F.col("text").isNotNull()).select("text").distinct().repartition(parts, "text")
+    """(text_id, text) of distinct texts, with their keys as ids; dealt to all partitions, since their positions are many."""
+    once = texts.where(F.col("text").isNotNull()).select("text").distinct().repartition(_parts(texts), F.xxhash64("text"))
     return once.select(text_key(F.col("text")).alias("text_id"), "text")
 
 
-def search_distinct(texts: DataFrame, dictionary: Dictionary, max_results: int, every_position: bool, longest: int | None = None) -> DataFrame:
-    """As word_search, for texts that are distinct."""
+def search_distinct(texts: DataFrame, dictionary: Dictionary, max_results: int, every_position: bool, longest: int | None = None, of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """As word_search, for texts that are distinct. ``of`` may change the columns of results of views, VIEW and result."""
     at = positions(texts)
     if not every_position:
         at = at.where("pos = 0")
-    found = position_hits(at, dictionary, max_results, longest)
-    return found.select("text_id", "pos", _fold_column(F.col("found"), max_results).alias("result"))
+    at = views(at, dictionary, longest)
+    # They are used four times below, and each use would make them anew.
+    set_checkpoint_folder(texts.sparkSession)
+    seen = at.select(*VIEW).distinct().repartition(_parts(texts), F.xxhash64(*VIEW)).checkpoint()
+    results = view_hits(seen, dictionary, max_results).select(*VIEW, _fold_column(F.col("found"), max_results).alias("result"))
+    return at.join(results if of is None else of(results), list(VIEW)).drop(*VIEW)
 
 
 def word_search(texts: DataFrame, dictionary: Dictionary, max_results: int = 7, every_position: bool = False, longest: int | None = None) -> DataFrame:

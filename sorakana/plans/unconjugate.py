@@ -119,7 +119,7 @@ def reachable(spark: SparkSession, words: DataFrame) -> DataFrame:
     expanded once, and levels go on until one adds nothing. Levels are checkpointed in the folder
     of ``spark.checkpoint.dir``.
     """
-    _set_checkpoint_folder(spark)
+    set_checkpoint_folder(spark)
     rules = F.broadcast(rules_frame(spark).select("ending", "becomes", "left", "right"))  # 241 rows
     longest = max(map(len, _rules()))
     now = words.select(F.col("word").alias("start"), "word", F.lit(UNKNOWN).alias("type")).distinct().checkpoint()
@@ -135,7 +135,8 @@ def reachable(spark: SparkSession, words: DataFrame) -> DataFrame:
     return done.select("start", "word", F.col("type").bitwiseAND(F.lit(ALL_WORDS)).alias("type")).where("type <> 0").distinct()
 
 
-def _set_checkpoint_folder(spark: SparkSession) -> None:
+def set_checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints go to ``spark.checkpoint.dir``; in local mode, where it may be unset, to a temporary folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return

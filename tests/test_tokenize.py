@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sorakana.functions.text import FULL_DIGITS, HALF_DIGITS, NEW_KANJI, OLD_KANJI, VOWELS
-from sorakana.operators.search import fold, word_search
+from sorakana.operators.search import VIEW, distinct_texts, fold, positions, views, word_search
 from sorakana.operators.tokenize import tokenize, windows, with_glosses
 from sorakana.plans.words import Reason
 from sorakana.queries import INFLECTED, SENTENCES
@@ -139,6 +140,23 @@ def test_lookups_are_hash_joins(spark, d):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_texts_are_dealt_to_all_partitions(spark):
+    """Their positions are many; a shuffle that is as small as they are was merged into one task."""
+    frame = spark.range(400).select(F.col("id").alias("text_id"), F.col("id").cast("string").alias("text"))
+    assert distinct_texts(frame).select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_positions_that_look_the_same_are_searched_once(spark, d):
+    """Views are all that a search depends on: spelling, the end of the text, and places in the text as it was given."""
+    texts = [f"{i}。食べました。" for i in range(50)] + ["食べました", "ハ゛が食べました。".replace("ハ゛", "ハ\u3099"), "食べ\u200cました。"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    seen = views(positions(frame), d).where("view LIKE '食%'").groupBy(*VIEW).count().collect()
+    assert sorted((r["view"], r["places"], r["count"]) for r in seen) == [("食べました", [], 1), ("食べました。", [], 51), ("食べました。", [0, 1, 3, 4, 5, 6], 1)]
+    assert listed(tokenize(frame, d)) == listed(tokenize_stream(frame, d))
+    found = {(r["text_id"], r["pos"]): (r["result"]["match_len"], [x["entry_id"] for x in r["result"]["data"]]) for r in word_search(frame, d, every_position=True).collect()}
+    assert found[3, 2] == found[49, 3] == found[50, 0] == found[51, 2] and found[52, 0] == (6, found[50, 0][1])
+
+
 def test_command_line(spark, tmp_path):
     from sorakana import cli
     from sorakana.sources import sample
