@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..sources.dictionary import Dictionary
-from .search import best_match, distinct_texts, search_distinct, text_key
+from .search import VIEW, best_match, distinct_texts, search_distinct, text_key
 
-_TOKENS = "array<struct<text: string, start: int, end: int, entry_id: bigint, reason_chains: array<array<int>>>>"
+_TOKENS = "array<struct<text: string, start: int, end: int, hit: int>>"
 #: Results that the walk chooses from at each position.
 CONSIDERED = 5
 
@@ -37,13 +37,18 @@ def walk(text: str, starts: list[int], best: Callable[[int], tuple[int, int, lis
     return out
 
 
-def _walk_column(text: Column, starts: Column, best: Column) -> Column:
+def _walk_column(text: Column, starts: Column, pos: Column, match_len: Column) -> Column:
+    """Tokens by the matches at ``pos``; hit is the place of theirs among these, so that Python sees only numbers of them."""
+
     @F.pandas_udf(_TOKENS)
-    def run(texts: pd.Series, places: pd.Series, found: pd.Series) -> pd.Series:
-        chains = lambda c: None if c is None else [[int(r) for r in x] for x in c]
-        return pd.Series([[] if t is None else walk(t, [int(x) for x in s], {b["pos"]: (b["match_len"], b["entry_id"], chains(b["reason_chains"])) for b in (f if f is not None else ())}.get) for t, s, f in zip(texts, places, found, strict=True)])
+    def run(texts: pd.Series, places: pd.Series, at: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for t, s, ps, ns in zip(texts, places, at, sizes, strict=True):
+            best = {} if ps is None else {p: (n, i, None) for i, (p, n) in enumerate(zip(ps.tolist(), ns.tolist(), strict=True))}
+            out.append([] if t is None else [{"text": x["text"], "start": x["start"], "end": x["end"], "hit": x["entry_id"]} for x in walk(t, s.tolist(), best.get)])
+        return pd.Series(out)
 
-    return run(text, starts, best)
+    return run(text, starts, pos, match_len)
 
 
 def tokenize(texts: DataFrame, dictionary: Dictionary, longest: int | None = None) -> DataFrame:
@@ -52,12 +57,18 @@ def tokenize(texts: DataFrame, dictionary: Dictionary, longest: int | None = Non
     Distinct texts are walked once. Tokens without an entry are single characters; empty and
     null texts have none. start and end count characters of the text.
     """
+
+    def chosen(results: DataFrame) -> DataFrame:
+        best = results.select(*VIEW, best_match(F.col("result")).alias("b")).select(*VIEW, "b.*")
+        return best.join(dictionary.entries.select("entry_id", "ent_seq"), "entry_id")
+
     distinct = distinct_texts(texts)
-    found = search_distinct(distinct, dictionary, CONSIDERED, every_position=True, longest=longest)
-    best = found.select("text_id", "pos", best_match(F.col("result")).alias("b")).groupBy("text_id").agg(F.collect_list(F.struct("pos", "b.match_len", "b.entry_id", "b.reason_chains")).alias("best"))
+    found = search_distinct(distinct, dictionary, CONSIDERED, every_position=True, longest=longest, of=chosen)
+    best = found.groupBy("text_id").agg(F.collect_list(F.struct("pos", "match_len", "entry_id", "ent_seq", "reason_chains")).alias("best"))
     rows = distinct.join(best, "text_id", "left").withColumn("n", normalized(F.col("text")))
-    rows = rows.select(F.col("text_id").alias("key"), F.posexplode(_walk_column(F.col("text"), F.col("n.starts"), F.col("best"))).alias("index", "t")).select("key", "index", "t.*")
-    rows = rows.join(dictionary.entries.select("entry_id", "ent_seq"), "entry_id", "left")
+    rows = rows.withColumn("tokens", _walk_column(F.col("text"), F.col("n.starts"), F.col("best.pos"), F.col("best.match_len")))
+    rows = rows.select(F.col("text_id").alias("key"), "best", F.posexplode("tokens").alias("index", "t")).withColumn("b", F.get("best", F.col("t.hit")))
+    rows = rows.select("key", "index", "t.text", "t.start", "t.end", "b.entry_id", "b.ent_seq", "b.reason_chains")
     return texts.where(F.col("text").isNotNull()).select("text_id", text_key(F.col("text")).alias("key")).join(rows, "key").select("text_id", "index", "text", "start", "end", "entry_id", "ent_seq", "reason_chains")
 
 

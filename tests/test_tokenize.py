@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sorakana.functions.text import FULL_DIGITS, HALF_DIGITS, NEW_KANJI, OLD_KANJI, VOWELS
 from sorakana.operators.search import VIEW, distinct_texts, fold, positions, views, word_search
-from sorakana.operators.tokenize import tokenize, windows, with_glosses
+from sorakana.operators.tokenize import _walk_column, tokenize, windows, with_glosses
 from sorakana.plans.words import Reason
 from sorakana.queries import INFLECTED, SENTENCES
 from sorakana.sources.dictionary import read_xml, sample_dictionary
@@ -157,6 +157,13 @@ def test_positions_that_look_the_same_are_searched_once(spark, d):
     assert found[3, 2] == found[49, 3] == found[50, 0] == found[51, 2] and found[52, 0] == (6, found[50, 0][1])
 
 
+def test_walk_gets_only_numbers_of_matches(spark):
+    """Entries and chains of reasons stay where they are; tokens tell the place of their match."""
+    frame = spark.createDataFrame([("食べました。", list(range(7)), [3, 0], [1, 5]), ("あ", [0, 1], None, None)], "text string, starts array<int>, pos array<int>, n array<int>")
+    got = [r["t"] for r in frame.select(_walk_column(F.col("text"), F.col("starts"), F.col("pos"), F.col("n")).alias("t")).collect()]
+    assert [[(t["text"], t["start"], t["end"], t["hit"]) for t in x] for x in got] == [[("食べました", 0, 5, 1), ("。", 5, 6, None)], [("あ", 0, 1, None)]]
+
+
 def test_command_line(spark, tmp_path):
     from sorakana import cli
     from sorakana.sources import sample
