@@ -6,7 +6,9 @@ All but NFC stay in the JVM. Positions count code points, as Spark's and Python'
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,12 +104,40 @@ def normalize(text: str, full_digits: bool = True, drop_zwnj: bool = True) -> tu
     return done, starts
 
 
+#: Code points that are normalized at once, or one text; their places take several times the memory of the texts.
+AT_ONCE = 1 << 18
+
+
+def pieces(texts: pd.Series, most: int = AT_ONCE) -> Iterator[pd.Series]:
+    """A batch of texts in parts of at most ``most`` code points, or one text each."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = 0 if t is None else len(t)
+        if i > start and size + n > most:
+            yield texts.iloc[start:i]
+            start, size = i, 0
+        size += n
+    yield texts.iloc[start:]
+
+
 def normalized(text: Column, full_digits: bool = True, drop_zwnj: bool = True) -> Column:
-    """struct<normalized string, starts array<int>>; null stays null. Spark has no NFC of its own."""
+    """struct<normalized string, starts array<int>>; null stays null. Spark has no NFC of its own.
+
+    A batch of rows goes back in parts of bounded size, with places as arrays of 32-bit numbers.
+    """
+    digits = str.maketrans(HALF_DIGITS, FULL_DIGITS) if full_digits else {}
+
+    def one(t: str) -> tuple[str, np.ndarray]:
+        plain = t.translate(digits)
+        if unicodedata.is_normalized("NFC", plain) and not (drop_zwnj and ZWNJ in plain):
+            return plain, np.arange(len(plain) + 1, dtype=np.int32)
+        done, starts = normalize(t, full_digits, drop_zwnj)
+        return done, np.array(starts, dtype=np.int32)
 
     @F.pandas_udf("struct<normalized: string, starts: array<int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [(None, None) if t is None else normalize(t, full_digits, drop_zwnj) for t in texts]
-        return pd.DataFrame(done, columns=["normalized", "starts"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for part in pieces(texts):
+                yield pd.DataFrame([(None, None) if t is None else one(t) for t in part], columns=["normalized", "starts"])
 
     return run(text)

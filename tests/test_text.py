@@ -1,5 +1,6 @@
 import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,3 +64,19 @@ def test_split_list(spark, parts):
 def test_ends_are_ends_of_texts(spark):
     rows = spark.createDataFrame([("きゃ",), ("きゃ\n",), ("12",), ("12\n",)], "t string").select(T.ends_in_yoon(F.col("t")).alias("y"), T.only_digits(F.col("t")).alias("d")).collect()
     assert [tuple(r) for r in rows] == [(True, False), (False, False), (False, True), (False, False)]
+
+
+def test_texts_are_normalized_in_bounded_parts():
+    """Places of a whole batch of long texts took more memory than an executor has."""
+    texts = pd.Series(["a" * 6, None, "b" * 6, "", "c" * 30, "d"])
+    parts = list(T.pieces(texts, 12))
+    assert [list(p) for p in parts] == [["a" * 6, None, "b" * 6, ""], ["c" * 30], ["d"]]
+    assert [list(p) for p in T.pieces(pd.Series([], dtype=object), 12)] == [[]]
+
+
+def test_parts_of_batches_meet_their_rows(spark):
+    texts = ["あ" * (T.AT_ONCE // 3 + i) + "が" * (i % 2) + "1" for i in range(8)] + [None, "", "x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = {r["i"]: (r["n"]["normalized"], r["n"]["starts"]) if r["n"] else None for r in frame.select("i", T.normalized(F.col("text")).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i][0], list(got[i][1])) == T.normalize(t) if t is not None else got[i] is None or got[i][0] is None
