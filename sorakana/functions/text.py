@@ -6,7 +6,7 @@ All but NFC stay in the JVM. Positions count code points, as Spark's and Python'
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -120,6 +120,12 @@ def pieces(texts: pd.Series, most: int = AT_ONCE) -> Iterator[pd.Series]:
     yield texts.iloc[start:]
 
 
+def run_once(udf: Callable[..., Column]) -> Callable[..., Column]:
+    """A function in Python that is run once for each row. Conditions on its result, such as that of an explode that
+    there be something, are put below other steps otherwise and run it for them, before equal rows are merged, and again."""
+    return udf.asNondeterministic()
+
+
 def normalized(text: Column, full_digits: bool = True, drop_zwnj: bool = True) -> Column:
     """struct<normalized string, starts array<int>>; null stays null. Spark has no NFC of its own.
 
@@ -140,4 +146,4 @@ def normalized(text: Column, full_digits: bool = True, drop_zwnj: bool = True) -
             for part in pieces(texts):
                 yield pd.DataFrame([(None, None) if t is None else one(t) for t in part], columns=["normalized", "starts"])
 
-    return run(text)
+    return run_once(run)(text)

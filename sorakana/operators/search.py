@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import YOON_ENDS, YOON_STARTS, hiragana, new_kanji, normalized, only_digits, variants
+from ..functions.text import YOON_ENDS, YOON_STARTS, hiragana, new_kanji, normalized, only_digits, run_once, variants
 from ..plans.rules import by_ending, ending_characters, most_added
 from ..plans.unconjugate import candidates, set_checkpoint_folder
 from ..sources.dictionary import Dictionary
@@ -45,7 +45,7 @@ def _runs_column(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else ending_runs(t))
 
-    return run(text)
+    return run_once(run)(text)
 
 
 def positions(texts: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _fold_column(found: Column, max_results: int) -> Column:
     return run(found)
 
 
-def _parts(frame: DataFrame) -> int:
+def parts_of(frame: DataFrame) -> int:
     """As many partitions as a shuffle has, for rows that are small but take long, which would be merged into few by their
     size. Rows are dealt by a hash then, since a shuffle by columns by which they just met is left out of the plan."""
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -165,10 +165,12 @@ def view_hits(seen: DataFrame, dictionary: Dictionary, max_results: int) -> Data
     """Of distinct views, all hits: VIEW and found array<...>, for ``fold``."""
     starts = F.when(F.size("places") == 0, F.sequence(F.lit(0), F.col("most"))).otherwise(F.col("places"))
     at = seen.select(F.struct(*VIEW).alias("text_id"), F.lit(0).alias("pos"), F.col("view").alias("normalized"), starts.alias("starts"), F.col("most").alias("longest"))
-    rows = prefixes(at, F.col("longest")).select("*", F.posexplode(variants(F.col("prefix"))).alias("ord", "variant"))
+    # Parts of the plan below share them, and each would make them anew.
+    set_checkpoint_folder(seen.sparkSession)
+    rows = prefixes(at, F.col("longest")).select("*", F.posexplode(variants(F.col("prefix"))).alias("ord", "variant")).checkpoint()
     # Once for each distinct spelling of the whole batch.
-    words = rows.select("variant").distinct().repartition(_parts(seen), F.xxhash64("variant")).withColumn("c", candidates(F.col("variant")))
-    words = words.select("variant", F.posexplode("c").alias("cand", "c")).select("variant", "cand", "c.*")
+    words = rows.select("variant").distinct().repartition(parts_of(seen), F.xxhash64("variant")).withColumn("c", candidates(F.col("variant")))
+    words = words.select("variant", F.posexplode("c").alias("cand", "c")).select("variant", "cand", "c.*").checkpoint()
     found = lookup(words.select("word"), dictionary, max(3 * max_results, 20))
     slim = dictionary.entries.select("entry_id", "type_mask", "kanji_readings", "kana_readings", mostly_kana(F.col("senses")).alias("usual"))
     hits = words.join(found, "word").join(slim.select("entry_id", "type_mask"), "entry_id")
@@ -193,7 +195,7 @@ def text_key(text: Column) -> Column:
 
 def distinct_texts(texts: DataFrame) -> DataFrame:
     """(text_id, text) of distinct texts, with their keys as ids; dealt to all partitions, since their positions are many."""
-    once = texts.where(F.col("text").isNotNull()).select("text").distinct().repartition(_parts(texts), F.xxhash64("text"))
+    once = texts.where(F.col("text").isNotNull()).select("text").distinct().repartition(parts_of(texts), F.xxhash64("text"))
     return once.select(text_key(F.col("text")).alias("text_id"), "text")
 
 
@@ -205,9 +207,11 @@ def search_distinct(texts: DataFrame, dictionary: Dictionary, max_results: int,
     at = views(at, dictionary, longest)
     # They are used four times below, and each use would make them anew.
     set_checkpoint_folder(texts.sparkSession)
-    seen = at.select(*VIEW).distinct().repartition(_parts(texts), F.xxhash64(*VIEW)).checkpoint()
+    seen = at.select(*VIEW).distinct().repartition(parts_of(texts), F.xxhash64(*VIEW)).checkpoint()
     results = view_hits(seen, dictionary, max_results).select(*VIEW, _fold_column(F.col("found"), max_results).alias("result"))
-    return at.join(results if of is None else of(results), list(VIEW)).drop(*VIEW)
+    # They are few. Without their plan in it, the one below is small each time that it is planned again, which spares the driver.
+    results = (results if of is None else of(results)).checkpoint()
+    return at.join(results, list(VIEW)).drop(*VIEW)
 
 
 def word_search(texts: DataFrame, dictionary: Dictionary, max_results: int = 7, every_position: bool = False, longest: int | None = None) -> DataFrame:

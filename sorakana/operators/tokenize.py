@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized
+from ..functions.text import normalized, run_once
 from ..sources.dictionary import Dictionary
-from .search import VIEW, best_match, distinct_texts, search_distinct, text_key
+from .search import VIEW, best_match, distinct_texts, parts_of, search_distinct, text_key
 
 _TOKENS = "array<struct<text: string, start: int, end: int, hit: int>>"
 #: Results that the walk chooses from at each position.
@@ -48,7 +48,7 @@ def _walk_column(text: Column, starts: Column, pos: Column, match_len: Column) -
             out.append([] if t is None else [{"text": x["text"], "start": x["start"], "end": x["end"], "hit": x["entry_id"]} for x in walk(t, s.tolist(), best.get)])
         return pd.Series(out)
 
-    return run(text, starts, pos, match_len)
+    return run_once(run)(text, starts, pos, match_len)
 
 
 def tokenize(texts: DataFrame, dictionary: Dictionary, longest: int | None = None) -> DataFrame:
@@ -64,7 +64,8 @@ def tokenize(texts: DataFrame, dictionary: Dictionary, longest: int | None = Non
 
     distinct = distinct_texts(texts)
     found = search_distinct(distinct, dictionary, CONSIDERED, every_position=True, longest=longest, of=chosen)
-    best = found.groupBy("text_id").agg(F.collect_list(F.struct("pos", "match_len", "entry_id", "ent_seq", "reason_chains")).alias("best"))
+    # A walk takes long for its size, by which a shuffle of the join's own would be merged into few tasks.
+    best = found.repartition(parts_of(texts), "text_id").groupBy("text_id").agg(F.collect_list(F.struct("pos", "match_len", "entry_id", "ent_seq", "reason_chains")).alias("best"))
     rows = distinct.join(best, "text_id", "left").withColumn("n", normalized(F.col("text")))
     rows = rows.withColumn("tokens", _walk_column(F.col("text"), F.col("n.starts"), F.col("best.pos"), F.col("best.match_len")))
     rows = rows.select(F.col("text_id").alias("key"), "best", F.posexplode("tokens").alias("index", "t")).withColumn("b", F.get("best", F.col("t.hit")))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import HIRAGANA, KATAKANA, hiragana
+from ..functions.text import HIRAGANA, KATAKANA, hiragana, run_once
 from .rules import Rule, by_ending, rules_frame
 from .words import ALL_WORDS, UNKNOWN, Reason, WordType
 
@@ -109,7 +109,7 @@ def candidates(word: Column) -> Column:
         undo = Unconjugator()
         return words.map(lambda w: None if w is None else [{"word": x, "type": kind, "reason_chains": [list(c) for c in chains]} for x, kind, chains in undo.candidates(w)])
 
-    return run(word)
+    return run_once(run)(word)
 
 
 def reachable(spark: SparkSession, words: DataFrame) -> DataFrame:

@@ -139,16 +139,21 @@ _samples: dict[str, Dictionary] = {}
 
 
 def sample_dictionary(spark: SparkSession) -> Dictionary:
-    """The dictionary of this repository, through the same parser; parsed once and kept for an application."""
+    """The dictionary of this repository, through the same parser; parsed once for an application.
+
+    Its tables are kept as local rows, some 50 entries: a cache ends when anybody clears it, and
+    every use would then have the parser's plan and parse again.
+    """
     from . import sample
 
     application = spark.sparkContext.applicationId
     if application in _samples:
         return _samples[application]
     rows = [("<entry>" + x.split("<entry>")[1] + "</entry>",) for x in sample.xml().split("</entry>") if "<entry>" in x]
-    entries = parse_entries(spark.createDataFrame(rows, "value string"), sample.ENTITIES).cache()
+    parsed = Dictionary.of(parse_entries(spark.createDataFrame(rows, "value string"), sample.ENTITIES))
+    kept = (spark.createDataFrame(t.toArrow(), t.schema) for t in (parsed.entries, parsed.forms))
     _samples.clear()
-    _samples[application] = Dictionary.of(entries)
+    _samples[application] = Dictionary(*kept)
     return _samples[application]
 
 

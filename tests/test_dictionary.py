@@ -127,3 +127,13 @@ def test_lookup(spark):
 def test_any_frame_is_a_dictionary(spark):
     entries = sample_dictionary(spark).entries.where("ent_seq = '1000010'").drop("type_mask")
     assert Dictionary.of(entries).statistics().first()["entries"] == 1
+
+
+def test_the_sample_stays_parsed(spark):
+    """Whoever clears the cache doesn't bring the parser's plan back into every use of the dictionary."""
+    d = sample_dictionary(spark)
+    spark.catalog.clearCache()
+    for table in (d.entries, d.forms):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "LocalTableScan" in plan and "Exchange" not in plan and "from_xml" not in plan.lower()
+    assert d.entries.count() == len(sample.entries())

@@ -1,8 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sorakana.functions.text import FULL_DIGITS, HALF_DIGITS, NEW_KANJI, OLD_KANJI, VOWELS
-from sorakana.operators.search import VIEW, distinct_texts, fold, positions, views, word_search
+from sorakana.operators.search import VIEW, distinct_texts, fold, positions, view_hits, views, word_search
 from sorakana.operators.tokenize import _walk_column, tokenize, windows, with_glosses
 from sorakana.plans.words import Reason
 from sorakana.queries import INFLECTED, SENTENCES
@@ -140,6 +142,21 @@ def test_lookups_are_hash_joins(spark, d):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_plans_are_small(spark, d):
+    """What several parts of a search read is made once, and each function in Python is run once for it."""
+    frame = spark.createDataFrame([(1, "食べる")], "text_id int, text string")
+    python = lambda x: x._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert python(tokenize(frame, d)) == 4  # both sides normalize, one has runs of endings, one walks
+    plan = view_hits(views(positions(frame), d).select(*VIEW).distinct(), d, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 0 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_walks_are_dealt_to_all_partitions(spark, d):
+    """They take long for their size, by which a shuffle of the join's own was merged into few tasks."""
+    plan = tokenize(spark.createDataFrame([(1, "食べる")], "text_id int, text string"), d)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(text_id#\d+, 4\), REPARTITION_BY_NUM", plan)) == 1
+
+
 def test_texts_are_dealt_to_all_partitions(spark):
     """Their positions are many; a shuffle that is as small as they are was merged into one task."""
     frame = spark.range(400).select(F.col("id").alias("text_id"), F.col("id").cast("string").alias("text"))
